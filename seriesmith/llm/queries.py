@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesmith.llm import chat, mixing, quality, secrets, urls
+from seriesmith.llm import chat, exact_dedup, mixing, packing, quality, secrets, simhash, urls
 from seriesmith.llm.common import read_table
 
 #: The rules of the URL filter in order, and the hosts whose pages it blocks beside them.
@@ -30,6 +30,21 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, tokenizer_path())
+
+
 def url_list(spark: SparkSession) -> DataFrame:
     rows = [(e, a, True) for e, a in URL_RULES] + [(e, "block", False) for e in BLOCKED_URLS]
     fields = [F.struct(F.lit(e).alias("entry"), F.lit(a).alias("action"), F.lit(r).alias("is_rule")) for e, a, r in rows]
@@ -41,6 +56,11 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(pages, url_list(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_dedup(docs).select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = [F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text")) for k, role in enumerate(("user", "assistant"))]
@@ -59,7 +79,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_quality_rules": op2_quality_rules,
     "op4_source_mixing": op4_source_mixing,
+    "op5_exact_dedup": op5_exact_dedup,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op7_url_filters": op7_url_filters,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_chat_formatting": op10_chat_formatting,
 }
 
@@ -111,6 +134,12 @@ FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN l ON d.source
 
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), {_LETTERS})) AS text_sha256 FROM documents),
+g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*)::BIGINT AS group_size FROM d GROUP BY text_sha256)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
+"""
+
 OP7_SQL = rf"""
 WITH u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), {_LETTERS}), '') AS host,
   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
@@ -140,6 +169,7 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS l
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": OP2_SQL,
     "op4_source_mixing": OP4_SQL,
+    "op5_exact_dedup": OP5_SQL,
     "op7_url_filters": OP7_SQL,
     "op10_chat_formatting": OP10_SQL,
 }
