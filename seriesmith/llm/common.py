@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import string
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
+#: Scratch paths, those of a pipeline's stage apart.
 _written: list[tuple[SparkSession, str]] = []
+_last_stage: list[tuple[SparkSession, str]] = []
+_stage: list[tuple[SparkSession, str]] | None = None
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,12 +41,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path below the shared folder; release() deletes it."""
+    """A new path below the shared folder; it is deleted when the stage's successor starts, or when Python ends."""
     path = f"{shared_dir(spark)}/seriesmith/{tag}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    (_written if _stage is None else _stage).append((spark, path))
     return path
 
 
+@contextlib.contextmanager
+def stage_scratch() -> Iterator[None]:
+    """Scratch tables made inside belong to a pipeline's stage. Those of the stage before are deleted on entry: its output has
+    been written and is what this stage reads."""
+    global _stage
+    _delete(_last_stage)
+    _stage = _last_stage
+    try:
+        yield
+    finally:
+        _stage = None
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it back.
 
@@ -54,16 +72,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Deletes every scratch table written so far; call it only when no result that reads them is still to run."""
-    while _written:
-        spark, path = _written.pop()
+def _delete(paths: list[tuple[SparkSession, str]]) -> None:
+    while paths:
+        spark, path = paths.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         except Exception:  # the session has ended; the folder is the cluster's to clean
             return
 
 
-atexit.register(release)
+atexit.register(lambda: (_delete(_last_stage), _delete(_written)))
