@@ -128,7 +128,7 @@ OP3_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), g AS (SELECT html, max(page_id) AS head FROM p GROUP BY html),
 d AS (SELECT page_id, html, sha1(html) AS h FROM p)
 SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
-  array_to_string(list_transform(range(32), k -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     1 + ((('0x' || substr(h, 1 + (k // 4) * 5, 5))::INT >> (15 - 5 * (k % 4))::INT) & 31), 1)), '') AS payload_digest,
   CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = head THEN NULL ELSE head END AS refers_to
 FROM d JOIN g USING (html)
