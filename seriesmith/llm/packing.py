@@ -70,9 +70,9 @@ class WordTokenizer:
             if len(self.known) > WORDS_KEPT:
                 self.known, self.older = {}, self.known
             missing = set(words).difference(self.known)
-            back = missing.intersection(self.older)
-            self.known.update((w, self.older[w]) for w in back)
-            new = list(missing - back)
+            back = {w: self.older[w] for w in missing if w in self.older}
+            self.known.update(back)
+            new = list(missing.difference(back))
             if new:
                 codes = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
                 self.known.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(new, codes, strict=True))
