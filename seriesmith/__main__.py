@@ -11,6 +11,7 @@ from seriesmith.operators import timeindex
 from seriesmith.operators.compress import DEFAULT_ERROR, compress, decompress
 from seriesmith.operators.frame_codecs import CODECS
 from seriesmith.sources import binary, csv, files
+from seriesmith.sources.binary import ENDINGS
 
 
 def arguments(args: list[str] | None = None) -> argparse.Namespace:
@@ -24,13 +25,13 @@ def arguments(args: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--verbose", action="store_true", help="show samples")
     p.add_argument("--csv", action="store_true", help="the input is CSV")
     p.add_argument("--typed-csv", action="store_true", help="the input is CSV with timestamp (ms) and value; an index is kept")
-    p.add_argument("--wav", action="store_true", help="the input is legacy WAV, the output WBRO")
+    p.add_argument("--wav", action="store_true", help="the input is legacy WAV, the output raw samples")
     p.add_argument("--validate", action="store_true", help="with --wav: read the result back and compare")
     p.add_argument("--no-header", action="store_true")
     p.add_argument("--fields", default="time,value", help="with --csv: names of the fields of time and value")
     p.add_argument("--no-compression", action="store_true")
-    p.add_argument("--output-vsri", action="store_true")
-    p.add_argument("--output-wavbrro", action="store_true")
+    p.add_argument("--output-index", action="store_true")
+    p.add_argument("--output-raw", action="store_true")
     p.add_argument("--output-csv", action="store_true", help="with -u and an index beside the input: write samples with times")
     return p.parse_args(args)
 
@@ -45,19 +46,19 @@ def read(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
         if not comma:
             raise SystemExit("--fields needs two names and a comma")
         return csv.read_with_header(spark, a.input, time_field, value_field)
-    return binary.read_wbro(spark, a.input)
+    return binary.read_raw(spark, a.input)
 
 
 def main(args: list[str] | None = None) -> list[str]:
     a = arguments(args)
     spark = SparkSession.builder.appName("seriesmith").getOrCreate()
     if a.uncompress:
-        samples = decompress(binary.read_bro(spark, a.input))
+        samples = decompress(binary.read_stream(spark, a.input))
         if a.verbose:
             samples.show()
-        out = files.save(binary.wbro_files(samples), a.output, "wbro")
+        out = files.save(binary.raw_files(samples), a.output, ENDINGS["raw"])
         if a.output_csv:
-            timed = timeindex.with_times(samples, binary.read_vsri(spark, f"{a.output}/*.vsri"))
+            timed = timeindex.with_times(samples, binary.read_index(spark, f"{a.output}/*.{ENDINGS['index']}"))
             timed = timed.select("series_id", (F.col("ts") * 1000).alias("timestamp"), "value")
             csv.write_typed(timed, f"{a.output}/csv")
         return out
@@ -65,23 +66,23 @@ def main(args: list[str] | None = None) -> list[str]:
     if a.typed_csv:
         samples = csv.read_typed(spark, a.input)
         order = ["timestamp", "value"]
-        if a.output_vsri:
+        if a.output_index:
             points = samples.select("series_id", F.floor(F.col("timestamp") / 1000).alias("ts"))
-            out += files.save(binary.vsri_lines(timeindex.build_index(points)), a.output, "vsri", "value")
+            out += files.save(binary.index_lines(timeindex.build_index(points)), a.output, ENDINGS["index"], "value")
     else:
         samples = read(spark, a)
     if a.verbose:
         samples.show()
-    if a.wav or a.output_wavbrro:
+    if a.wav or a.output_raw:
         placed = samples.withColumn("pos", F.col("timestamp")) if a.typed_csv else samples
-        written = files.save(binary.wbro_files(placed), a.output, "wbro")
+        written = files.save(binary.raw_files(placed), a.output, ENDINGS["raw"])
         out += written
         if a.wav and a.validate:
-            back = binary.read_wbro(spark, f"{a.output}/*.wbro")
+            back = binary.read_raw(spark, f"{a.output}/*.{ENDINGS['raw']}")
             if not samples.exceptAll(back).isEmpty():
                 raise SystemExit("what was written differs")
     if not (a.wav or a.no_compression):
-        out += files.save(binary.bro_files(compress(samples, order, a.compressor, a.error, a.level)), a.output, "bro")
+        out += files.save(binary.stream_files(compress(samples, order, a.compressor, a.error, a.level)), a.output, ENDINGS["stream"])
     return out
 
 

@@ -143,14 +143,14 @@ def frame_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH s AS ({QUANTITIES}) SELECT series_id, (pos // 2048)::BIGINT AS chunk_no, count(*)::BIGINT AS n, sum(value) AS total, (arg_min(value, pos)) AS first FROM s GROUP BY 1, 2")
-def wbro_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def block_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("values")
     total = F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
     return series.blocks(quantities(spark, sf_dir)).select("series_id", "chunk_no", F.size(v).cast("long").alias("n"), total.alias("total"), F.get(v, F.lit(0)).alias("first"))
 
 
 @query(f"WITH s AS ({EVENTS}) SELECT series_id, pos::BIGINT AS pos, value FROM s")
-def wbro_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+def block_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.from_blocks(series.blocks(events(spark, sf_dir)))
 
 
@@ -497,17 +497,17 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"{_SEGMENTS} SELECT series_id, seg_no, m, x0, y0, n FROM sg")
-def vsri_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def index_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments(spark, sf_dir)
 
 
 @query(f"{_SEGMENTS} SELECT series_id, seg_no, m, x0, y0, n FROM sg")
-def vsri_segments_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+def index_segments_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeindex.build_index_native(seconds(spark, sf_dir))
 
 
 @query(f"{_SEGMENTS} SELECT series_id, min(y0) AS min_ts, max(y0 + m * (n - 1)) AS max_ts, sum(n)::BIGINT AS samples FROM sg GROUP BY 1")
-def vsri_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+def index_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeindex.bounds(segments(spark, sf_dir))
 
 
@@ -515,42 +515,42 @@ _AT = "(SELECT min(x0 + (pr.y - y0) // greatest(m, 1)) FROM sg WHERE sg.series_i
 
 
 @query(f"{_SEGMENTS} {_PROBES} SELECT series_id, y, {_AT} AS x FROM pr")
-def vsri_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeindex.sample_at(probes(spark, sf_dir), segments(spark, sf_dir), span=7 * 86400)
 
 
 @query(f"{_SEGMENTS}, q AS (SELECT series_id, x0 + unnest(range(0, n, 3)) AS x FROM sg) SELECT series_id, x, (SELECT y0 + m * (q.x - x0) FROM sg WHERE sg.series_id = q.series_id AND q.x BETWEEN x0 AND x0 + n - 1) AS y FROM q")
-def vsri_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+def index_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = segments(spark, sf_dir)
     wanted = s.select("series_id", F.explode(F.sequence(F.col("x0"), F.col("x0") + F.col("n") - 1, F.lit(3).cast("long"))).alias("x"))
     return timeindex.time_at(wanted, s)
 
 
 @query(f"{_SEGMENTS} {_PROBES} SELECT series_id, y, coalesce({_AT}, (SELECT min(x0) FROM sg WHERE sg.series_id = pr.series_id AND y0 >= pr.y)) AS x FROM pr")
-def vsri_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+def index_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeindex.this_or_next(probes(spark, sf_dir), segments(spark, sf_dir))
 
 
 @query(f"""{_SEGMENTS} {_PROBES}, b AS (SELECT series_id, max(y0 + m * (n - 1)) AS last, sum(n)::BIGINT AS total FROM sg GROUP BY 1)
 SELECT pr.series_id, y, CASE WHEN {_AT} IS NULL AND y >= last THEN total ELSE coalesce({_AT}, (SELECT max(x0 + n - 1) FROM sg WHERE sg.series_id = pr.series_id AND y0 + m * (n - 1) <= pr.y)) END AS x
 FROM pr LEFT JOIN b USING (series_id)""")
-def vsri_prev(spark: SparkSession, sf_dir: str) -> DataFrame:
+def index_prev(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeindex.this_or_previous(probes(spark, sf_dir), segments(spark, sf_dir))
 
 
 @query(f"{_SEGMENTS}, q AS (SELECT series_id, y0 + m * (n - 1) AS after, lead(y0) OVER (PARTITION BY series_id ORDER BY x0) AS before FROM sg) SELECT * FROM q WHERE before > after + 1")
-def vsri_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def index_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeindex.gaps(segments(spark, sf_dir))
 
 
 @query(f"{_SEGMENTS} {_PROBES} SELECT series_id, y AS a, y + 3000 AS b, NOT EXISTS (SELECT 1 FROM sg WHERE sg.series_id = pr.series_id AND pr.y <= y0 + m * (n - 1) AND pr.y + 3000 >= y0) AS is_empty FROM pr")
-def vsri_is_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+def index_is_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranges = probes(spark, sf_dir).select("series_id", F.col("y").alias("a"), (F.col("y") + 3000).alias("b"))
     return timeindex.is_empty(ranges, segments(spark, sf_dir))
 
 
 @query(f"{_SEGMENTS}, q AS (SELECT series_id, x0, y0, m, unnest(range(0, n)) AS i FROM sg) SELECT series_id, x0 + i AS x, y0 + m * i AS y FROM q")
-def vsri_all_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+def index_all_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeindex.all_times(segments(spark, sf_dir))
 
 

@@ -15,7 +15,7 @@ OUTPUT = "series_id string, kind string, m long, x0 long, y0 long, n long, rejec
 STATE = "max_ts long, m long, x0 long, y0 long, n long"
 
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _advance(timeout_ms: int | None, key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Closed segments (kind segment), rejected points (kind late) and, when a series times out, its open segment.
 
     The points of a trigger are taken in the order of time; one that is earlier than a point of an earlier trigger is late.
@@ -36,7 +36,8 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     rows = [row("segment", s) for s in found[:-1]] + [row("late", late=t) for t in late]
     if found:
         state.update((max(fine[-1] if fine else newest, newest or 0), *found[-1]))
-    state.setTimeoutDuration(600_000)
+    if timeout_ms is not None:
+        state.setTimeoutDuration(timeout_ms)
     if rows:
         yield pd.DataFrame(rows, columns=_NAMES)
 
@@ -44,7 +45,16 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
 _NAMES = [field.split()[0] for field in OUTPUT.split(", ")]
 
 
-def segment_stream(points: DataFrame) -> DataFrame:
-    """OUTPUT of a stream of points (series_id, ts in seconds), in append mode; the state is one segment a series."""
+def segment_stream(points: DataFrame, timeout_ms: int | None = None) -> DataFrame:
+    """OUTPUT of a stream of points (series_id, ts in seconds), in append mode; the state is one segment a series.
+
+    With a timeout, a series without points for so long gives its open segment, and its next point starts anew. Such a query
+    looks for timeouts all the time and never is idle.
+    """
     typed = points.select(F.col("series_id").cast("string"), F.col("ts").cast("long"))
-    return typed.groupBy("series_id").applyInPandasWithState(_advance, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    when = GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        return _advance(timeout_ms, key, batches, state)
+
+    return typed.groupBy("series_id").applyInPandasWithState(advance, OUTPUT, STATE, "append", when)

@@ -1,6 +1,7 @@
 """Relations: framing, statistics, metrics, compression, sources, index and stream."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -112,25 +113,25 @@ def test_compress_checks_and_levels(spark):
 def test_stream_bytes_and_files(spark, tmp_path):
     golden = [66, 82, 82, 79, 1, 0, 0, 0, 1, 1, 41, 251, 0, 4, 3, 3, 30, 3, 1]
     frames = engine.compress(samples(spark, [1.0] * 1024), codec="constant")
-    content = binary.bro_files(frames).first()["content"]
+    content = binary.stream_files(frames).first()["content"]
     assert list(content) == golden
     with pytest.raises(binary.FormatError):
-        binary.bro_frames(content[:4] + b"\x02\0\0\0" + content[8:])
+        binary.stream_frames(content[:4] + b"\x02\0\0\0" + content[8:])
     (tmp_path / "other.bro").write_bytes(b"something")
-    files.save(binary.bro_files(frames), str(tmp_path), "bro")
-    assert engine.decompress(binary.read_bro(spark, str(tmp_path))).count() == 1024
+    files.save(binary.stream_files(frames), str(tmp_path), "bro")
+    assert engine.decompress(binary.read_stream(spark, str(tmp_path))).count() == 1024
 
 
-def test_wbro(spark, tmp_path):
-    assert list(binary.wbro_bytes(np.ones(1)))[12:] == [0, 0, 0, 0, 0, 0, 240, 63, 248, 255, 255, 255, 1, 0, 0, 0, 248, 255, 255, 255, 1, 0, 0, 0, 1, 0, 0, 0, 5, 0, 0, 0]
+def test_raw_samples(spark, tmp_path):
+    assert list(binary.raw_bytes(np.ones(1)))[12:] == [0, 0, 0, 0, 0, 0, 240, 63, 248, 255, 255, 255, 1, 0, 0, 0, 248, 255, 255, 255, 1, 0, 0, 0, 1, 0, 0, 0, 5, 0, 0, 0]
     x = np.random.default_rng(1).normal(size=5000)
-    np.testing.assert_array_equal(binary.wbro_values(binary.wbro_bytes(x)), x)
+    np.testing.assert_array_equal(binary.raw_values(binary.raw_bytes(x)), x)
     rows = samples(spark, x, "w")
-    files.save(binary.wbro_files(rows), str(tmp_path), "wbro")
-    assert binary.read_wbro(spark, str(tmp_path)).exceptAll(rows).isEmpty()
+    files.save(binary.raw_files(rows), str(tmp_path), "wbro")
+    assert binary.read_raw(spark, str(tmp_path)).exceptAll(rows).isEmpty()
     assert series.from_blocks(series.blocks(rows)).exceptAll(rows).isEmpty()
     with pytest.raises(binary.FormatError):
-        binary.wbro_values(b"nothing here")
+        binary.raw_values(b"nothing here")
 
 
 def test_wav(spark, tmp_path):
@@ -199,9 +200,9 @@ def test_lookups(spark):
 
 def test_index_text(spark, tmp_path):
     segs = spark.createDataFrame([("a", 0, 15, 0, 55745, 166), ("a", 1, 15, 166, 58505, 63)], "series_id string, seg_no long, m long, x0 long, y0 long, n long")
-    files.save(timeindex_lines := binary.vsri_lines(segs), str(tmp_path), "vsri", "value")
+    files.save(timeindex_lines := binary.index_lines(segs), str(tmp_path), "vsri", "value")
     assert timeindex_lines.first()["value"] == "55745\n59435\n15,0,55745,166\n15,166,58505,63"
-    assert binary.read_vsri(spark, str(tmp_path)).exceptAll(segs).isEmpty()
+    assert binary.read_index(spark, str(tmp_path)).exceptAll(segs).isEmpty()
 
 
 def test_stream(spark, tmp_path):
@@ -211,7 +212,9 @@ def test_stream(spark, tmp_path):
     points = spark.readStream.schema("series_id string, ts long").option("maxFilesPerTrigger", 1).parquet(str(source) + "/k=*")
     q = stream.segment_stream(points).writeStream.format("memory").queryName("segments").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
     try:
-        q.processAllAvailable()
+        deadline = time.time() + 120
+        while time.time() < deadline and q.isActive and (not q.lastProgress or q.lastProgress["batchId"] < 2):
+            time.sleep(0.3)
     finally:
         q.stop()
     rows = spark.table("segments").collect()
@@ -227,10 +230,10 @@ def test_command_line(spark, tmp_path):
     lines = "".join(f"{1700000000000 + 15000 * k},{100 + k % 7}\n" for k in range(600))
     (tmp_path / "m.csv").write_text("timestamp,value\n" + lines)
     out = tmp_path / "out"
-    made = main([str(tmp_path / "m.csv"), "--typed-csv", "--output-vsri", "-e", "1", "-o", str(out)])
+    made = main([str(tmp_path / "m.csv"), "--typed-csv", "--output-index", "-e", "1", "-o", str(out)])
     assert {p.rpartition(".")[2] for p in made} == {"vsri", "bro"}
     main([str(out / "m.bro"), "-u", "--output-csv", "-o", str(out)])
-    x = binary.wbro_values((out / "m.wbro").read_bytes())
+    x = binary.raw_values((out / "m.wbro").read_bytes())
     assert np.abs(x / np.array([100 + k % 7 for k in range(600)]) - 1).mean() <= 0.011
     back = csv.read_typed(spark, str(out / "csv/series_id=m")).orderBy("timestamp").collect()
     assert len(back) == 600 and back[1]["timestamp"] == 1700000015000
