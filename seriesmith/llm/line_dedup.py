@@ -120,11 +120,12 @@ def repeated_runs(lined: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     every = materialize(every, "windows")
     prints = every.groupBy("print").agg(F.min("_row").alias("a"), F.max("_row").alias("b"), F.min("place").alias("c"), F.max("place").alias("d"))
     prints = prints.filter("a != b OR c != d").select(F.col("print").alias("_print"))
-    matched = every.join(materialize(prints, "prints"), F.col("print") == F.col("_print"), "left_semi")
+    # the merge hints keep the plan, and so its cost for each row, the same at every size
+    matched = every.join(materialize(prints, "prints").hint("merge"), F.col("print") == F.col("_print"), "left_semi")
     order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"), F.col("first").alias("first"))
     firsts = matched.groupBy("high", "low").agg(F.min(order).alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     firsts = materialize(firsts.select(F.col("high").alias("_high"), F.col("low").alias("_low"), "lead"), "firsts")
-    again = matched.join(firsts, (F.col("high") == F.col("_high")) & (F.col("low") == F.col("_low"))).filter(order != F.col("lead"))
+    again = matched.join(firsts.hint("merge"), (F.col("high") == F.col("_high")) & (F.col("low") == F.col("_low"))).filter(order != F.col("lead"))
     return again.groupBy("_row").agg(F.collect_set(F.struct("first", "last")).alias("runs"))  # two for each line of a document at most
 
 
@@ -136,7 +137,7 @@ def _cleaned(docs: DataFrame, text: str, doc_id: str, min_words: int) -> DataFra
     lined = docs.select("*", F.col(doc_id).alias("_id"), split_lines(F.col(text)).alias("_lines"), F.monotonically_increasing_id().alias("_row"))
     lined = materialize(lined, "lines")
     runs = repeated_runs(lined.select("_row", "_id", "_lines"), min_words).select(F.col("_row").alias("_of"), "runs")
-    joined = lined.join(materialize(runs, "runs"), F.col("_row") == F.col("_of"), "left")
+    joined = lined.join(materialize(runs, "runs").hint("merge"), F.col("_row") == F.col("_of"), "left")
     return joined.withColumn(text, F.when(F.col("runs").isNotNull(), without_lines(F.col(text), F.col("_lines.at"), F.col("runs"))).otherwise(F.col(text)))
 
 
