@@ -17,9 +17,10 @@ SEGMENT = "array<struct<m:bigint,x0:bigint,y0:bigint,n:bigint>>"
 SEGMENTS = "series_id string, seg_no long, m long, x0 long, y0 long, n long"
 
 
-def fold(times: Iterable[int]) -> Iterator[tuple[int, int, int, int]]:
-    """(m, x0, y0, n) of ordered times. A repeated first time opens a segment of its own, so no sample is lost."""
-    m = x0 = y0 = n = 0
+def resume(state: tuple[int, int, int, int] | None, times: Iterable[int]) -> Iterator[tuple[int, int, int, int]]:
+    """(m, x0, y0, n) of ordered times that go on from an open segment, if there is one; the last it yields is open again. A
+    repeated first time opens a segment of its own, so no sample is lost."""
+    m, x0, y0, n = state or (0, 0, 0, 0)
     for y in times:
         if n == 0:
             m, y0, n = 0, y, 1
@@ -34,6 +35,11 @@ def fold(times: Iterable[int]) -> Iterator[tuple[int, int, int, int]]:
         yield m, x0, y0, n
 
 
+def fold(times: Iterable[int]) -> Iterator[tuple[int, int, int, int]]:
+    """(m, x0, y0, n) of ordered times."""
+    return resume(None, times)
+
+
 def build_index(points: DataFrame, key: str = "series_id", ts: str = "ts") -> DataFrame:
     """SEGMENTS of each series of points (key, ts: seconds), which are streamed in order; a task holds one batch."""
 
@@ -80,23 +86,6 @@ def build_index(points: DataFrame, key: str = "series_id", ts: str = "ts") -> Da
     return typed.repartition("k").sortWithinPartitions("k", "y").mapInArrow(segments, SEGMENTS)
 
 
-def resume(state: tuple[int, int, int, int] | None, times: Iterable[int]) -> Iterator[tuple[int, int, int, int]]:
-    """fold() that goes on from an open segment; the last it yields is open again."""
-    m, x0, y0, n = state or (0, 0, 0, 0)
-    for y in times:
-        if n == 0:
-            m, y0, n = 0, y, 1
-        elif n == 1 and y > y0:
-            m, n = y - y0, 2
-        elif n > 1 and (y - y0) // m == n:
-            n += 1
-        else:
-            yield m, x0, y0, n
-            m, x0, y0, n = 0, x0 + n, y, 1
-    if n:
-        yield m, x0, y0, n
-
-
 def build_index_native(points: DataFrame, key: str = "series_id", ts: str = "ts") -> DataFrame:
     """build_index() by a fold over each series' sorted array: for series of a few thousand points."""
     sorted_times = points.filter(F.col(ts).isNotNull()).groupBy(F.col(key).cast("string").alias("series_id")).agg(F.array_sort(F.collect_list(F.col(ts).cast("long"))).alias("y"))
