@@ -14,7 +14,10 @@ same names.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -52,8 +55,28 @@ MADE = ("piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
+#: How a tokenizer that _plain_pieces() stands for cuts lower-cased text, and its other steps.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+STEPS = ["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]
+#: Words of printable ASCII and of Latin letters that no normalization changes, and their pieces in lower case.
+PLAIN = re.compile(r"[!-~\u00c0-\u012f\u0131-\u017f]+\Z")
+_LETTER = r"a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u017f"
+PLAIN_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\s{_LETTER}0-9]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter by which a byte-level vocabulary writes each byte: itself if it prints, else one from U+0100 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in prints]
+    return {**{b: chr(b) for b in prints}, **{b: chr(256 + k) for k, b in enumerate(rest)}}
+
+
 class WordTokenizer:
-    """Ids of a tokenizer that treats what stands between ASCII spaces independently: those of a word are remembered."""
+    """Ids of a tokenizer that treats what stands between ASCII spaces independently: those of a word are remembered.
+
+    Where the tokenizer's steps are SPLIT and STEPS, words of plain letters are cut here, and only its model is asked, once
+    for each piece; all other words go through the tokenizer itself.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -62,6 +85,34 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.letters = byte_letters()
+        steps = json.loads(self.tokenizer.to_str())
+        names = tuple([x["type"] for x in (steps[k] or {}).get(of, [])] for k, of in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+        self.plain = names == STEPS and steps["pre_tokenizer"]["pretokenizers"][0]["pattern"] == {"Regex": SPLIT}
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in steps["added_tokens"]) or r"(?!)")
+        self.model = self.tokenizer.model
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) > WORDS_KEPT:
+                self.pieces.clear()
+            symbols = "".join(map(self.letters.__getitem__, piece.encode()))
+            ids = self.pieces[piece] = struct.pack(f"<{len(found := self.model.tokenize(symbols))}I", *(t.id for t in found))
+        return ids
+
+    def _words(self, new: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        other = []
+        for w in new:
+            word = w.decode()
+            if self.plain and PLAIN.match(word) and not self.special.search(word):
+                yield w, b"".join(map(self._piece, PLAIN_SPLIT.findall(word.lower())))
+            else:
+                other.append(w)
+        if other:
+            codes = self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)
+            yield from ((w, struct.pack(f"<{len(c.ids)}I", *c.ids)) for w, c in zip(other, codes, strict=True))
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit numbers."""
@@ -70,12 +121,10 @@ class WordTokenizer:
             if len(self.known) > WORDS_KEPT:
                 self.known, self.older = {}, self.known
             missing = set(words).difference(self.known)
-            back = {w: self.older[w] for w in missing if w in self.older}
-            self.known.update(back)
-            new = list(missing.difference(back))
-            if new:
-                codes = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-                self.known.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(new, codes, strict=True))
+            if missing:
+                back = {w: self.older[w] for w in missing if w in self.older}
+                self.known.update(back)
+                self.known.update(self._words(list(missing.difference(back))))
             yield b"".join(map(self.known.__getitem__, words))
 
 
