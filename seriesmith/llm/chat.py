@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seriesmith.llm.common import boxed, unboxed, without
+
 #: The template's control strings, as one pattern: first character, backslashes, the rest.
 CONTROL = r"([<\[])(\\*)(/?s>|/?INST\]|/?SYS>)"
 ESCAPED = r"([<\[])\\(\\*)(/?s>|/?INST\]|/?SYS>)"
@@ -123,8 +125,8 @@ def canonical_turns(records: DataFrame, columns: list[str], mappings: tuple[Mapp
         if set(m.paths) <= there:
             layout = F.when(F.col("_print") == F.lit(m.fingerprint()), m.layout).otherwise(layout)
             turns = F.when(F.col("_print") == F.lit(m.fingerprint()), m.canonical() if m.turns else empty).otherwise(turns)
-    rest = [c for c in records.columns if c not in columns and c not in ("layout", "turns")]
-    return records.withColumn("_print", print_of).select(*rest, layout.alias("layout"), turns.alias("turns"))
+    rest = without(records.columns, [*columns, "layout", "turns"])
+    return records.select(*boxed(rest), *columns, print_of.alias("_print")).select(*unboxed(rest), layout.alias("layout"), turns.alias("turns"))
 
 
 def escape(text: Column) -> Column:

@@ -7,7 +7,7 @@ import contextlib
 import string
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +31,21 @@ def lower_ascii(column: Column) -> Column:
     return F.translate(column, string.ascii_uppercase, string.ascii_lowercase)
 
 
+def without(columns: list[str], made: Iterable[str]) -> list[str]:
+    """The columns whose names, in any case, aren't among those made."""
+    taken = {m.lower() for m in made}
+    return [c for c in columns if c.lower() not in taken]
+
+
+def boxed(columns: list[str]) -> list[Column]:
+    """The columns as one struct, whose names can't clash with those of work columns beside it; none if there are none."""
+    return [F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_box")] if columns else []
+
+
+def unboxed(columns: list[str]) -> list[Column]:
+    return [F.col("_box")[c].alias(c) for c in columns]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", "")

@@ -12,7 +12,7 @@
 
 Defined cases: a null text counts as empty; of equal texts the row with the largest doc_id stays, null ids being smallest,
 and of repeated rows with that id just one; an empty table gives no rows; a bucket of one key, however full, isn't split,
-as its texts are equal or its keys collide; the columns made here replace columns of the same names.
+as its texts are equal or its keys collide; other columns of the input, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -35,7 +35,6 @@ MAX_DEPTH = 16
 HELD_BYTES = 32 << 20
 #: Bytes of texts in a bucket, at least; with more data a bucket takes its share of 2**MAX_DEPTH.
 BUCKET_BYTES = 1 << 20
-MADE = ("keep_id", "group_size", "kept", "text_sha256")
 ENTRIES = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),

@@ -24,11 +24,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesmith.llm.common import SPACES, materialize
+from seriesmith.llm.common import boxed, materialize, without
 
 MIN_WORDS = 50
 LINES = T.StructType([T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("hash", T.ArrayType(T.LongType())), T.StructField("words", T.ArrayType(T.IntegerType()))])
@@ -130,25 +130,28 @@ def repeated_runs(lined: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def _cleaned(docs: DataFrame, text: str, doc_id: str, min_words: int) -> DataFrame:
-    """docs with _lines and _runs, the text cleaned."""
-    clash = {"_row", "_id", "_lines", "_of", "runs"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"these names are taken for the work: {sorted(clash)}")
-    lined = docs.select("*", F.col(doc_id).alias("_id"), split_lines(F.col(text)).alias("_lines"), F.monotonically_increasing_id().alias("_row"))
+    """The columns of docs boxed, _lines, runs, and _text: the text cleaned."""
+    others = without(docs.columns, [text])
+    lined = docs.select(*boxed(others), F.col(doc_id).alias("_id"), F.col(text).alias("_text"), split_lines(F.col(text)).alias("_lines"), F.monotonically_increasing_id().alias("_row"))
     lined = materialize(lined, "lines")
     runs = repeated_runs(lined.select("_row", "_id", "_lines"), min_words).select(F.col("_row").alias("_of"), "runs")
     joined = lined.join(materialize(runs, "runs").hint("merge"), F.col("_row") == F.col("_of"), "left")
-    return joined.withColumn(text, F.when(F.col("runs").isNotNull(), without_lines(F.col(text), F.col("_lines.at"), F.col("runs"))).otherwise(F.col(text)))
+    cleaned = without_lines(F.col("_text"), F.col("_lines.at"), F.col("runs"))
+    return joined.withColumn("_text", F.when(F.col("runs").isNotNull(), cleaned).otherwise(F.col("_text")))
+
+
+def _columns(columns: list[str], text: str) -> list[Column]:
+    return [F.col("_text").alias(c) if c == text else F.col("_box")[c].alias(c) for c in columns]
 
 
 def clean(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the later ones of repeated runs of lines deleted from the text."""
-    return _cleaned(docs, text, doc_id, min_words).select(*docs.columns)
+    return _cleaned(docs, text, doc_id, min_words).select(*_columns(docs.columns, text))
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
     """clean(), with n_lines (lines that had words) and n_deleted."""
-    rest = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
+    rest = without(docs.columns, ["n_lines", "n_deleted"])
     deleted = F.size(F.array_distinct(F.flatten(F.transform(F.col("runs"), lambda r: F.sequence(r["first"], r["last"])))))
     done = _cleaned(docs.select(*rest), text, doc_id, min_words)
-    return done.select(*rest, F.size("_lines.at").cast("long").alias("n_lines"), F.when(F.col("runs").isNull(), 0).otherwise(deleted).cast("long").alias("n_deleted"))
+    return done.select(*_columns(rest, text), F.size("_lines.at").cast("long").alias("n_lines"), F.when(F.col("runs").isNull(), 0).otherwise(deleted).cast("long").alias("n_deleted"))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesmith.llm.common import WORD, materialize
+from seriesmith.llm.common import WORD, boxed, materialize, unboxed, without
 
 WEIGHTS = (5, 2, 1)
 BITS, LEVELS = 10, 6
@@ -99,9 +99,9 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return plan.join(at, same(at), "left").select("source", "source_size", "target", "times", F.coalesce("threshold", F.lit(0)).alias("threshold"))
 
 
-def _sized(docs: DataFrame, text: str, doc_id: str, source: str) -> DataFrame:
+def _sized(docs: DataFrame, text: str, doc_id: str, source: str, rest: list[str]) -> DataFrame:
     size = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
-    return docs.select("*", F.col(source).alias("_source_of"), size.alias("_size"), hash_of(F.col(doc_id)).alias("_hash"))
+    return docs.select(F.col(source).alias("_source_of"), size.alias("_size"), hash_of(F.col(doc_id)).alias("_hash"), *boxed(rest))
 
 
 def _taken(docs: DataFrame, sized: DataFrame, share: float, cap: float) -> DataFrame:
@@ -115,17 +115,18 @@ def _taken(docs: DataFrame, sized: DataFrame, share: float, cap: float) -> DataF
 
 def mix_sizes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """docs without the text, with size, source_size, target and taken (words that the mix takes)."""
-    rest = [c for c in docs.columns if c not in MADE and c != text]
-    sized = materialize(_sized(docs, text, doc_id, source).select(*rest, "_source_of", "_size", "_hash"), "sizes")
+    rest = without(docs.columns, [*MADE, text])
+    sized = materialize(_sized(docs, text, doc_id, source, rest), "sizes")
     cells = sized.select(F.col("_source_of").alias("source"), F.col("_size").alias("size"), F.col("_hash").alias("hash"))
     mixed = _taken(sized, cells, share, cap)
-    return mixed.select(*rest, F.col("_size").alias("size"), F.col("_total").alias("source_size"), F.col("_target").alias("target"), (F.col("_times") * F.col("_size")).cast("long").alias("taken"))
+    return mixed.select(*unboxed(rest), F.col("_size").alias("size"), F.col("_total").alias("source_size"), F.col("_target").alias("target"), (F.col("_times") * F.col("_size")).cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """The documents of the mix, with their own columns; one that is taken twice comes twice."""
-    sized = _sized(docs, text, doc_id, source)
+    sized = _sized(docs, text, doc_id, source, [])
     cells = materialize(sized.select(F.col("_source_of").alias("source"), F.col("_size").alias("size"), F.col("_hash").alias("hash")), "sizes")
-    narrow = docs.select("*", F.col(source).alias("_source_of"), hash_of(F.col(doc_id)).alias("_hash"))
+    narrow = docs.select(*boxed(docs.columns), F.col(source).alias("_source_of"), hash_of(F.col(doc_id)).alias("_hash"))
     mixed = _taken(narrow, cells, share, cap).filter("_times > 0")
-    return mixed.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int"))).alias("_copy")).select(*docs.columns)
+    copies = F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int")))
+    return mixed.select("_box", copies.alias("_copy")).select(*unboxed(docs.columns))

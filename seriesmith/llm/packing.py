@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesmith.llm.common import materialize
+from seriesmith.llm.common import boxed, materialize, unboxed, without
 
 CAPACITY = 4096
 END_ID = 1
@@ -141,7 +141,7 @@ def cut(ids: bytes, capacity: int) -> list[tuple[int, int, int, bytes]]:
 
 
 def pieces_of(docs: DataFrame, text: str, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
-    """A row for each piece, with the document's other columns."""
+    """A row for each piece, with the document's other columns boxed."""
     end = np.array([END_ID], "<u4").tobytes()
 
     @F.arrow_udf(PIECES)
@@ -153,8 +153,7 @@ def pieces_of(docs: DataFrame, text: str, tokenizer_path: str, capacity: int = C
         columns = [pa.array(c, f.type) for c, f in zip(zip(*flat, strict=True), PIECE, strict=True)] if flat else [pa.array([], f.type) for f in PIECE]
         return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, fields=list(PIECE)))
 
-    rest = [c for c in docs.columns if c != text and c not in MADE]
-    return docs.select(*rest, F.inline(tokenized(F.col(text))))
+    return docs.select(*boxed(without(docs.columns, [*MADE, text])), F.inline(tokenized(F.col(text))))
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -272,4 +271,4 @@ def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", capacity: int
     out = state
     for x in closed:
         out = out.unionByName(x.filter("NOT open"))
-    return out.drop("open")
+    return out.select(*unboxed(without(docs.columns, [*MADE, text])), *MADE)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesmith.llm.common import SPACES, materialize
+from seriesmith.llm.common import SPACES, boxed, materialize, unboxed, without
 
 SYMBOLS = "#*$%&|<>"
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -115,19 +115,15 @@ def host_verdicts(scored: DataFrame, host: str, host_rate: float) -> DataFrame:
 
 def score(docs: DataFrame, text: str = "text", host: str = "source", host_rate: float = 0.5) -> DataFrame:
     """docs without the text, with METRICS, base_failed, host_kept and kept; the text is read once, in one pass."""
-    made = {*METRICS, "base_failed", "host_kept", "kept", "_m"}
-    rest = [c for c in docs.columns if c not in made and c != text]
-    scored = materialize(docs.select(*rest, measured(F.col(text)).alias("_m")), "quality")
-    verdicts = host_verdicts(scored, host, host_rate).select(F.col("host").alias("_host"), "host_kept")
-    judged = scored.join(verdicts, F.col(host).eqNullSafe(F.col("_host")), "left")
-    return judged.select(*rest, "_m.*", base_failed().alias("base_failed"), "host_kept", (~base_failed() & F.col("host_kept")).alias("kept"))
+    rest = without(docs.columns, [*METRICS, "base_failed", "host_kept", "kept", text])
+    scored = materialize(docs.select(*boxed(rest), F.col(host).alias("_of"), measured(F.col(text)).alias("_m")), "quality")
+    verdicts = host_verdicts(scored, "_of", host_rate).select(F.col("host").alias("_host"), "host_kept")
+    judged = scored.join(verdicts, F.col("_of").eqNullSafe(F.col("_host")), "left")
+    return judged.select(*unboxed(rest), "_m.*", base_failed().alias("base_failed"), "host_kept", (~base_failed() & F.col("host_kept")).alias("kept"))
 
 
 def keep(docs: DataFrame, text: str = "text", host: str = "source", host_rate: float = 0.5) -> DataFrame:
     """The documents that pass, with their own columns."""
-    columns = docs.columns
-    if "_m" in columns or "_host" in columns:
-        raise ValueError("the names _m and _host are taken for the work")
-    scored = materialize(docs.select("*", measured(F.col(text)).alias("_m")), "quality")
-    verdicts = host_verdicts(scored, host, host_rate).filter("host_kept").select(F.col("host").alias("_host"))
-    return scored.filter(~base_failed()).join(verdicts, F.col(host).eqNullSafe(F.col("_host")), "left_semi").select(*columns)
+    scored = materialize(docs.select(*boxed(docs.columns), F.col(host).alias("_of"), measured(F.col(text)).alias("_m")), "quality")
+    verdicts = host_verdicts(scored, "_of", host_rate).filter("host_kept").select(F.col("host").alias("_host"))
+    return scored.filter(~base_failed()).join(verdicts, F.col("_of").eqNullSafe(F.col("_host")), "left_semi").select(*unboxed(docs.columns))

@@ -175,6 +175,23 @@ SELECT page_id, host, path, r.rule AS rule, coalesce(r.action, CASE WHEN starts_
 FROM u LEFT JOIN best USING (host, path)
 """
 
+OP9_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents WHERE text IS NOT NULL),
+w AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l),
+p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, sum(n) OVER (PARTITION BY doc_id ORDER BY k) AS upto FROM w WHERE n > 0),
+g AS (SELECT doc_id, list(line ORDER BY i) AS ls FROM p GROUP BY doc_id),
+r AS (SELECT a.doc_id, a.i, b.i AS j FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.i >= a.i
+  WHERE b.upto - a.upto + a.n >= 50 AND (b.upto - b.n - a.upto + a.n < 50 OR b.upto - a.upto < 50)),
+c AS (SELECT r.*, array_to_string(list_slice(ls, r.i, r.j), chr(10)) AS body FROM r JOIN g USING (doc_id)),
+f AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, i) AS nth FROM c),
+x AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM f WHERE nth > 1),
+kept AS (SELECT w.doc_id, string_agg(w.line, chr(10) ORDER BY w.k) AS text FROM w LEFT JOIN p USING (doc_id, k) LEFT JOIN x ON x.doc_id = p.doc_id AND x.i = p.i
+  WHERE x.i IS NULL GROUP BY w.doc_id),
+n AS (SELECT doc_id, count(*)::BIGINT AS n FROM p GROUP BY doc_id), m AS (SELECT doc_id, count(*)::BIGINT AS n FROM x GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(kept.text, '') END AS text, coalesce(n.n, 0) AS n_lines, coalesce(m.n, 0) AS n_deleted
+FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
 OP10_SQL = r"""
 WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
@@ -194,5 +211,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_source_mixing": OP4_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op7_url_filters": OP7_SQL,
+    "op9_line_dedup": OP9_SQL,
     "op10_chat_formatting": OP10_SQL,
 }

@@ -6,7 +6,7 @@ left. A layer that was seen before over the same stretch of the document (a cycl
 itself) isn't opened again. Spans found in a layer are mapped back to code points of the document.
 
 Defined cases: a null text counts as empty; an empty text gives zero counts, the digest of nothing and no spans; rows
-are independent, so ties and repeated rows give equal answers; further columns of the input are left alone; a compressed
+are independent, so ties and repeated rows give equal answers; the input's columns stay, but for those with the names made here, which are replaced; a compressed
 layer larger than ``max_layer_bytes`` when unpacked isn't opened and is counted in ``n_unopened``.
 """
 
@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seriesmith.llm.common import boxed, unboxed, without
+
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"(?ia:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -284,4 +286,5 @@ def scan_secrets(docs: DataFrame, text: str = "text", max_layer_bytes: int = 1 <
     def scanned(texts: pa.Array) -> pa.Array:
         return pa.array([scan(t.as_py(), max_layer_bytes) for t in texts], _ARROW)
 
-    return docs.withColumn("_secrets", scanned(F.col(text))).select(*docs.columns, "_secrets.*")
+    rest = without(docs.columns, RESULT.names)
+    return docs.select(*boxed(rest), scanned(F.col(text)).alias("_secrets")).select(*unboxed(rest), "_secrets.*")

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesmith.llm.common import lower_ascii, materialize
+from seriesmith.llm.common import boxed, lower_ascii, materialize, unboxed, without
 
 MADE = ("host", "path", "rule", "verdict")
 LANES = 4
@@ -79,8 +79,8 @@ def filter_urls(pages: DataFrame, listed: DataFrame, url: str = "url") -> DataFr
         listed.groupBy("entry", "is_rule").agg(F.max(F.struct(F.col("action") == "block", F.col("action")))["action"].alias("action")), "listed"
     )
     n_blocks = min(max(1, -(-listed.count() // ENTRIES_PER_BLOCK)), MAX_BLOCKS)
-    rest = [c for c in pages.columns if c not in MADE]
-    where = pages.select(*rest, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    rest = without(pages.columns, MADE)
+    where = pages.select(*boxed(rest), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     entries = where.select("host", "path").distinct().select("host", "path", F.explode(candidates(F.col("host"), F.col("path"))).alias("entry"))
     hits = possible_hits(entries, bloom_filter(listed, n_blocks), n_blocks)
     best = F.max(F.when(F.col("is_rule"), F.struct(F.length("entry").alias("n"), F.col("entry"), F.col("action"))))
@@ -94,4 +94,4 @@ def filter_urls(pages: DataFrame, listed: DataFrame, url: str = "url") -> DataFr
         "verdicts",
     )
     judged = where.join(verdicts, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left")
-    return judged.select(*rest, "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))
+    return judged.select(*unboxed(rest), "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))

@@ -83,6 +83,6 @@ def test_hot_source_and_ties(table):
 def test_edges(table):
     _, docs = docs_of(table)
     assert M.mix_sizes(docs.limit(0)).count() == 0 and M.mix(docs.limit(0)).count() == 0
-    clash = docs.withColumn("size", F.lit("x")).withColumn("target", F.lit(1))
+    clash = docs.withColumn("size", F.lit("x")).withColumn("target", F.lit(1)).withColumn("_hash", F.lit(2)).withColumn("source_of", F.lit(3))
     assert M.mix(clash).columns == clash.columns and dict(M.mix_sizes(clash).dtypes)["size"] == "bigint"
     assert M.mix_sizes(table([(1, "a", None), (2, "a", "")], SCHEMA)).agg(F.sum("taken")).first()[0] == 0

@@ -96,7 +96,7 @@ def test_large_layers_are_counted():
 
 
 def test_rows(table):
-    docs = table(["", None, f"x {KEY}", f"x {KEY}", "wörter " * 200_000 + KEY]).withColumnRenamed("lang", "spans_of")
+    docs = table(["", None, f"x {KEY}", f"x {KEY}", "wörter " * 200_000 + KEY]).withColumnRenamed("lang", "spans").withColumn("_secrets", S.F.lit(1))
     got = {r["doc_id"]: r for r in S.scan_secrets(docs).collect()}
     assert len(got) == 5 and got[1]["base_sha256"] == hashlib.sha256(b"").hexdigest() and got[1]["text"] is None
     assert got[2]["spans"] == got[3]["spans"] == "access:2:22" and got[4]["spans"] == f"access:{7 * 200_000}:{7 * 200_000 + 20}"
