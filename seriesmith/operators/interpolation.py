@@ -53,14 +53,17 @@ def catmull_rom(t_at: Column) -> Column:
 
 
 def spline_decode(stepped: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """The samples with decoded; of a frame with one value that value."""
-    ends = stepped.groupBy(*FRAME, *extra).agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    """The samples with decoded; of a frame with one value that value. Columns low and high, if there, are its ends."""
+    columns = [c for c in stepped.columns if c not in ("low", "high")]
+    if len(columns) == len(stepped.columns):
+        ends = stepped.groupBy(*FRAME, *extra).agg(F.min("value").alias("low"), F.max("value").alias("high"))
+        stepped = stepped.join(ends, [*FRAME, *extra])
     parts = segments(keys(stepped, extra), extra).select(*FRAME, *extra, "key_no", "cubic", *(f"{c}{k}" for c in "xv" for k in range(4)))
     x = F.col("pos_in_frame")
     number = F.when(x == F.col("frame_len") - 1, F.floor((x + F.col("step") - 1) / F.col("step"))).otherwise(F.floor(x / F.col("step")))
-    joined = stepped.withColumn("key_no", number.cast("long")).join(parts, [*FRAME, *extra, "key_no"]).join(ends, [*FRAME, *extra])
+    joined = stepped.withColumn("key_no", number.cast("long")).join(parts, [*FRAME, *extra, "key_no"])
     value = round_clamped(catmull_rom(x.cast("double")), F.col("low"), F.col("high"))
-    return joined.select(*stepped.columns, F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(value).alias("decoded"))
+    return joined.select(*columns, F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(value).alias("decoded"))
 
 
 def idw_decode(stepped: DataFrame) -> DataFrame:
@@ -118,11 +121,11 @@ def fit_ladder(framed: DataFrame, bound: Column) -> DataFrame:
     Rungs with equal steps give equal results, so steps are tried once each, largest first; step 1 stores everything and
     has no error.
     """
-    frames = framed.select(*FRAME, "frame_len").distinct()
-    steps = ladder(frames).select(*FRAME, "step").distinct()
+    frames = framed.groupBy(*FRAME).agg(F.min("frame_len").alias("frame_len"), F.min("value").alias("low"), F.max("value").alias("high"))
+    steps = ladder(frames).select(*FRAME, "low", "high", "step").distinct()
     tried = framed.join(steps.filter("step > 1"), FRAME)
     errors = frame_errors(spline_decode(tried, ("step",)), ("step",))
     passed = round_half_away(F.col("error"), 4) <= round_half_away(bound, 3)
-    fits = errors.filter(passed & ~F.isnan("error")).unionByName(steps.filter("step = 1").withColumn("error", F.lit(0.0)))
+    fits = errors.filter(passed & ~F.isnan("error")).unionByName(steps.filter("step = 1").select(*FRAME, "step", F.lit(0.0).alias("error")))
     best = fits.groupBy(*FRAME).agg(F.max(F.struct("step", "error")).alias("best"))
     return best.select(*FRAME, F.col("best.step").alias("step"), F.col("best.error").alias("error"))
