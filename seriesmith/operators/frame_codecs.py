@@ -282,8 +282,11 @@ def _synthesis(spectrum: np.ndarray, kept: np.ndarray, n: int, low: float, high:
     return np.clip(round_half_away(np.fft.irfft(some, n)), low, high)
 
 
-def fft_encode(x: np.ndarray, bound: float | None = None, points: int | None = None) -> tuple[bytes, float]:
-    """With a bound, the first rung of the ladder below it in thousandths, or the last rung."""
+def fft_encode(x: np.ndarray, bound: float | None = None, points: int | None = None, most: int | None = None) -> tuple[bytes, float]:
+    """With a bound, the first rung of the ladder below it in thousandths, or the last rung.
+
+    most: bytes beyond which the result isn't wanted; the ladder ends there, with an infinite error.
+    """
     low, high = float(np.float32(x.min())), float(np.float32(x.max()))
     tail = struct.pack("<ff", high, low)
     if low == high:
@@ -295,6 +298,8 @@ def fft_encode(x: np.ndarray, bound: float | None = None, points: int | None = N
     counts = [points or first] if bound is None else rungs(first, first // 2, first // 10)
     for count in counts:
         kept = strongest(spectrum, count)
+        if most is not None and 9 * (len(kept) + 1) > most:
+            return b"", float("inf")
         error = mape(y, _synthesis(spectrum, kept, n, low, high))
         if bound is None or np.isnan(error) or int(bound * 1000) >= int(min(error, 1e6) * 1000):
             break
@@ -348,6 +353,8 @@ def choose(x: np.ndarray, bound: float, sample: int | None = None) -> tuple[str,
 
 
 def _smallest(x: np.ndarray, bound: float) -> tuple[str, bytes, float]:
-    tried = [(c, *encode(x, c, bound)) for c in AUTO]
-    within = [t for t in tried if t[2] <= bound]
-    return min(within or tried, key=lambda t: len(t[1]))
+    """Runs are always within the bound, so a Fourier ladder that has become larger than the best of the others can end."""
+    others = [(c, *encode(x, c, bound)) for c in AUTO[1:]]
+    most = min(len(payload) for _, payload, error in others if error <= bound)
+    tried = [("fft", *fft_encode(x, bound, most=most)), *others]
+    return min((t for t in tried if t[2] <= bound), key=lambda t: len(t[1]))

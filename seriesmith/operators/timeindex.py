@@ -160,12 +160,10 @@ def _as_of(probes: DataFrame, segments: DataFrame, forward: bool) -> DataFrame:
     p = probes.select("series_id", F.col("y").alias("_t"), "_id", F.lit(None).cast("long").alias("_x"))
     at, x = (F.col("y0"), F.col("x0")) if forward else (end_of(), F.col("x0") + F.col("n") - 1)
     s = segments.select("series_id", at.alias("_t"), F.lit(None).cast("long").alias("_id"), x.alias("_x"))
-    w = Window.partitionBy("series_id").orderBy("_t")
     merged = p.unionByName(s)
-    if forward:
-        found = F.min("_x").over(w.rangeBetween(0, Window.unboundedFollowing))
-    else:
-        found = F.max("_x").over(w.rangeBetween(Window.unboundedPreceding, 0))
+    # frames that grow from the first row on are kept up, while those that reach to the last are computed anew for each row
+    w = Window.partitionBy("series_id").orderBy(F.col("_t").desc() if forward else F.col("_t")).rangeBetween(Window.unboundedPreceding, 0)
+    found = (F.min("_x") if forward else F.max("_x")).over(w)
     return merged.withColumn("found", found).filter("_id IS NOT NULL").select("series_id", F.col("_t").alias("y"), "found")
 
 
