@@ -47,7 +47,8 @@ BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:(?:[A-Za-z0-9+/]{60,}\r?\n)+[A-Za-z
 URLSAFE = bytes.maketrans(b"-_", b"+/")
 STOPS = np.ones(256, bool)
 STOPS[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")] = False
-CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
+#: UTF-16 text in bytes: eight characters or more of which one byte is zero.
+UTF16 = re.compile(rb"(?:[^\x00]\x00){8,}|(?:\x00[^\x00]){8,}")
 
 RESULT = T.StructType(
     [
@@ -189,10 +190,25 @@ def _unpack(data: bytes, limit: int) -> tuple[bytes, bool, bool]:
     return data, True, False
 
 
-def _whole(layer: Layer, start: int, end: int, data: bytes) -> Layer:
-    """A layer whose characters all come from [start, end)."""
-    text = data.decode("utf-8", "replace")
-    return Layer(text, np.full(len(text), layer.first[start]), np.full(len(text), layer.last[end - 1]))
+def _whole(layer: Layer, start: int, end: int, data: bytes) -> list[Layer]:
+    """Layers whose characters all come from [start, end)."""
+    return [Layer(t, np.full(len(t), layer.first[start]), np.full(len(t), layer.last[end - 1])) for t, _, _ in _texts(data)]
+
+
+def _texts(data: bytes) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """The texts in bytes, with the first byte of each character and the one behind it: UTF-8, or else a character for each
+    byte, and runs of UTF-16 beside it."""
+    try:
+        text = data.decode("utf-8")
+        ends = np.cumsum(np.array([len(c.encode()) for c in text], dtype=np.int64))
+    except UnicodeDecodeError:
+        text = data.decode("latin-1")
+        ends = np.arange(1, len(data) + 1, dtype=np.int64)
+    out = [(text, np.concatenate(([0], ends[:-1])).astype(np.int64), ends)]
+    for m in UTF16.finditer(data):
+        begin = np.arange(m.start(), m.end(), 2, dtype=np.int64)
+        out.append((m[0].replace(b"\x00", b"").decode("latin-1"), begin, begin + 2))
+    return out
 
 
 def _unbase64(layer: Layer, limit: int) -> tuple[list[Layer], int]:
@@ -208,20 +224,12 @@ def _unbase64(layer: Layer, limit: int) -> tuple[list[Layer], int]:
         data, packed, large = _unpack(data, limit)
         closed += large
         if packed:
-            out.append(_whole(layer, m.start(), m.end(), data))
+            out += _whole(layer, m.start(), m.end(), data)
         elif not large:
-            try:
-                text = data.decode("utf-8")
-            except UnicodeDecodeError:
-                continue
-            if CONTROL.search(text):
-                continue
-            widths = np.array([len(c.encode()) for c in text], dtype=np.int64)
-            ends = np.cumsum(widths)
             at = np.array(places, dtype=np.int64) + m.start()
-            begin = at[(ends - widths) // 3 * 4]
-            close = at[np.minimum((ends - 1) // 3 * 4 + 3, len(at) - 1)]
-            out.append(Layer(text, layer.first[begin], layer.last[close]))
+            for text, begin, end in _texts(data):
+                first, last = at[begin // 3 * 4], at[np.minimum((end - 1) // 3 * 4 + 3, len(at) - 1)]
+                out.append(Layer(text, layer.first[first], layer.last[last]))
     return out, closed
 
 
@@ -232,7 +240,7 @@ def _percent_packed(layer: Layer, limit: int) -> tuple[list[Layer], int]:
         data, packed, large = _unpack(bytes.fromhex(m[0].replace("%", "")), limit)
         closed += large
         if packed:
-            out.append(_whole(layer, m.start(), m.end(), data))
+            out += _whole(layer, m.start(), m.end(), data)
     return out, closed
 
 

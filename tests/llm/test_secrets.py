@@ -77,6 +77,17 @@ def test_deep_nesting_and_both_orders():
     assert any(k == "access" for k, _ in mapped("%5Cu0041KIA" + "C" * 15))
 
 
+@pytest.mark.parametrize(
+    "data",
+    [f"key {KEY} end".encode("utf-16"), f"key {KEY} end".encode("utf-16-be"), f"clé {KEY} ".encode("latin-1"), b"\x00user\x00" + KEY.encode() + b"\x00\xff\x01", b"\x07bell " + KEY.encode()],
+)
+def test_bytes_that_are_not_plain_text(data):
+    for blob in (b64(data), b64(gzip.compress(data)), b64(b"\x00\xff" + b64(data).encode())):
+        assert any(k == "access" and p in blob for k, p in mapped(f"a {blob} b")), blob
+    begin = data.index(b"K") // 3 * 4
+    assert any(k == "access" and b64(data).index(p) <= begin for k, p in mapped(f"a {b64(data)} b"))
+
+
 def test_same_blob_twice_gives_two_spans():
     blob = b64(f"   {KEY}   ")
     assert len({x for x in S.scan(f"{blob} {blob}", LIMIT)["spans"].split(",") if x.startswith("access")}) == 2
