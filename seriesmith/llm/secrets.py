@@ -47,6 +47,15 @@ BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:(?:[A-Za-z0-9+/]{60,}\r?\n)+[A-Za-z
 URLSAFE = bytes.maketrans(b"-_", b"+/")
 STOPS = np.ones(256, bool)
 STOPS[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")] = False
+#: Bytes in escapes, among which characters that need none stand bare: URLs, and literals of strings.
+PACKED = (
+    re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~/+-])+"),
+    re.compile(r"(?:\\x[0-9A-Fa-f]{2}|\\[abfnrtv0\\'\"]|[\x20-\x5b\x5d-\x7e])+"),
+)
+UNIT = re.compile(r"%[0-9A-Fa-f]{2}|\\x[0-9A-Fa-f]{2}|\\.|.", re.S)
+SHORT = dict(zip("abfnrtv0\\'\"", b"\x07\x08\x0c\n\r\t\x0b\x00\\'\"", strict=True))
+#: Where a compressed stream can begin.
+MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 #: UTF-16 text in bytes: eight characters or more of which one byte is zero.
 UTF16 = re.compile(rb"(?:[^\x00]\x00){8,}|(?:\x00[^\x00]){8,}")
 
@@ -211,36 +220,69 @@ def _texts(data: bytes) -> list[tuple[str, np.ndarray, np.ndarray]]:
     return out
 
 
-def _unbase64(layer: Layer, limit: int) -> tuple[list[Layer], int]:
+def _packed_within(layer: Layer, data: bytes, places: np.ndarray, end: int, limit: int) -> tuple[list[Layer], int]:
+    """Layers of compressed streams that begin anywhere in data; byte i was written from places[i] on, the last up to end."""
     out, closed = [], 0
-    for m in BASE64.finditer(layer.text):
-        places = [i for i, c in enumerate(m[0]) if c not in "=\r\n"]
-        raw = "".join(m[0][i] for i in places).encode().translate(URLSAFE)
-        raw = raw[: len(raw) - (len(raw) % 4 == 1)]
-        try:
-            data = base64.b64decode(raw + b"=" * (-len(raw) % 4), validate=True)
-        except binascii.Error:
-            continue
-        data, packed, large = _unpack(data, limit)
+    for m in MAGIC.finditer(data):
+        inner, packed, large = _unpack(data[m.start() :], limit)
         closed += large
         if packed:
-            out += _whole(layer, m.start(), m.end(), data)
-        elif not large:
+            out += _whole(layer, int(places[m.start()]), end, inner)
+    return out, closed
+
+
+def _unbase64(layer: Layer, limit: int) -> tuple[list[Layer], int]:
+    out, closed = [], 0
+    for m in BASE64.finditer(layer.text):
+        every = [i for i, c in enumerate(m[0]) if c not in "=\r\n"]
+        behind: dict[int, int] = {}  # the first character behind a separator for each alignment to it
+        for k in [0, *(k + 1 for k, i in enumerate(every) if m[0][i] in "/-_")]:
+            if len(every) - k >= 16:
+                behind.setdefault(k % 4, k)
+        for k in behind.values():
+            places = every[k:]
+            raw = "".join(m[0][i] for i in places).encode().translate(URLSAFE)
+            raw = raw[: len(raw) - (len(raw) % 4 == 1)]
+            try:
+                data = base64.b64decode(raw + b"=" * (-len(raw) % 4), validate=True)
+            except binascii.Error:
+                continue
             at = np.array(places, dtype=np.int64) + m.start()
-            for text, begin, end in _texts(data):
-                first, last = at[begin // 3 * 4], at[np.minimum((end - 1) // 3 * 4 + 3, len(at) - 1)]
-                out.append(Layer(text, layer.first[first], layer.last[last]))
+            inner, packed, large = _unpack(data, limit)
+            closed += large
+            if packed:
+                out += _whole(layer, int(at[0]), m.end(), inner)
+            elif not large:
+                for text, begin, end in _texts(data):
+                    first, last = at[begin // 3 * 4], at[np.minimum((end - 1) // 3 * 4 + 3, len(at) - 1)]
+                    out.append(Layer(text, layer.first[first], layer.last[last]))
+                more, n = _packed_within(layer, data, at[np.arange(len(data)) // 3 * 4], m.end(), limit)
+                out += more
+                closed += n
     return out, closed
 
 
 def _percent_packed(layer: Layer, limit: int) -> tuple[list[Layer], int]:
-    """Compressed bytes that are written as percent escapes."""
+    """Compressed bytes that are written as percent or \\x escapes, bare characters among them."""
     out, closed = [], 0
-    for m in PERCENT.finditer(layer.text):
-        data, packed, large = _unpack(bytes.fromhex(m[0].replace("%", "")), limit)
-        closed += large
-        if packed:
-            out += _whole(layer, m.start(), m.end(), data)
+    for pattern, sign in zip(PACKED, ("%", "\\x"), strict=True):
+        if sign not in layer.text:
+            continue
+        for m in pattern.finditer(layer.text):
+            if sign not in m[0]:
+                continue
+            units = list(UNIT.finditer(m[0]))
+            whole = [u[0] for u in units]
+            if sign == "%":
+                data = bytes(int(u[1:], 16) if len(u) == 3 else ord(u) for u in whole)
+                tried = [data, bytes(0x20 if u == "+" else b for u, b in zip(whole, data, strict=True))] if "+" in whole else [data]
+            else:
+                tried = [bytes(int(u[2:], 16) if len(u) == 4 else SHORT[u[1]] if len(u) == 2 else ord(u) for u in whole)]
+            places = np.array([u.start() for u in units], dtype=np.int64) + m.start()
+            for data in tried:
+                more, n = _packed_within(layer, data, places, m.end(), limit)
+                out += more
+                closed += n
     return out, closed
 
 

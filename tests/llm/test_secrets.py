@@ -5,7 +5,7 @@ import hashlib
 import lzma
 import re
 import zlib
-from urllib.parse import quote
+from urllib.parse import quote, quote_plus
 
 import pytest
 import zstandard
@@ -88,6 +88,22 @@ def test_bytes_that_are_not_plain_text(data):
     assert any(k == "access" and b64(data).index(p) <= begin for k, p in mapped(f"a {b64(data)} b"))
 
 
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress])
+def test_compressed_bytes_in_escapes(pack):
+    data = pack(f"password = hunter2hunter2 {'filler ' * 20}".encode())
+    literal = repr(data)[2:-1]
+    for text in (quote(data), quote(data, safe=""), quote_plus(data), "".join(f"%{b:02x}" for b in data), literal, "".join(f"\\x{b:02x}" for b in data)):
+        for around in (f"see q={text} end", f"GET /cb/{text}", f"b'{text}'"):
+            assert ("assign" in [k for k, _ in mapped(around)]), around
+
+
+@pytest.mark.parametrize("before", ["https://a.example.org/cb/", "org/", "x-", "ab_", "a/b-cd_e/", "abc/"])
+def test_base64_behind_separators(before):
+    for data in (f"token = {'k' * 20} é".encode(), gzip.compress(f"token = {'k' * 20}".encode())):
+        for blob in (b64(data), base64.urlsafe_b64encode(data).decode()):
+            assert any(k == "assign" and p.rstrip("=") in before + blob for k, p in mapped(f"< {before}{blob} >")), before
+
+
 def test_same_blob_twice_gives_two_spans():
     blob = b64(f"   {KEY}   ")
     assert len({x for x in S.scan(f"{blob} {blob}", LIMIT)["spans"].split(",") if x.startswith("access")}) == 2
