@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
+#: Size of a table's files up to which it may be broadcast.
+BROADCAST_BYTES = 16 << 20
+
 #: Scratch paths, those of a pipeline's stage apart.
 _written: list[tuple[SparkSession, str]] = []
 _last_stage: list[tuple[SparkSession, str]] = []
@@ -87,6 +90,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def table_bytes(table: DataFrame) -> int:
+    """The planner's estimate of a table's size: of one from materialize(), its files' size."""
+    return int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def join_small(large: DataFrame, small: DataFrame, on: Column, how: str = "inner") -> DataFrame:
+    """Joins a table of texts with one from materialize(). Up to BROADCAST_BYTES the latter is broadcast, so that texts stay
+    in place; beyond, both are dealt by key and sorted, with the same rows."""
+    return large.join(F.broadcast(small) if table_bytes(small) <= BROADCAST_BYTES else small.hint("merge"), on, how)
+
+
 def _delete(paths: list[tuple[SparkSession, str]]) -> None:
     while paths:
         spark, path = paths.pop()

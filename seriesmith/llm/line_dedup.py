@@ -1,26 +1,36 @@
 """Line dedup by winnowing over line hashes.
 
-A document is a sequence of lines with their hashes and numbers of words; lines without a word have no place in it. Its
+A document is a sequence of lines with 128-bit hashes and numbers of words; lines without a word have no place in it. Its
 windows are the shortest runs of lines with at least ``min_words`` words that start, or that end, at a line. From each
-window the line with the smallest hash (the last of equal ones) is selected as a fingerprint. Two documents that share a
-run of ``min_words`` words share a window in it, and so its fingerprint: no such run is missed.
-
-1. Fingerprints are counted; those that occur once are dropped.
-2. Positions are joined with the repeated fingerprints. Each match is extended both ways over the windows whose fingerprint
-   it is; a window is identified by a 128-bit digest of its lines. No pairs are formed: windows are grouped, and only the
-   first occurrence of each, by document and line, is kept.
-3. Windows that occurred earlier are joined back, and the lines under them are deleted. As a repeated run is covered by its
-   windows, it goes as a whole, while its first occurrence stays.
+window the line with the smallest hash (the last of equal ones) is selected. Only these minima are kept, as fingerprints;
+neighbouring windows mostly share theirs. Two documents that share a run of ``min_words`` words share a window in it, and
+so its fingerprint at the same place of the run: no such run is missed.
+
+1. Positions are joined by fingerprint; fingerprints that occur once are dropped. What is left gets its context: the lines
+   of all windows that select it.
+2. Each position is matched with the first one of its fingerprint, and the match is extended both ways, line by line,
+   until the lines differ or the context ends. A match of ``min_words`` words or more is a run that occurred earlier.
+3. A position whose context goes on behind its match may share more with others than with the first. All that do differ
+   from the first at the same place by the same line. So on each side where the context goes on such positions form a new
+   group, of those that share the run of lines up to that one, and 2. is repeated for these groups until none has two
+   positions. A group's run is a line longer than that of the group it comes from, and is given up when no window holds it,
+   so rounds end with the longest window. No pairs are formed: a group of n positions gives n matches.
+4. The lines of all matches are deleted. A repeated run is covered by its windows, so it goes as a whole, while its first
+   occurrence stays.
 
 Defined cases: a null text stays null; documents are in the order of doc_id, null ids last, and rows with equal ids in the
 order in which they were read; lines without a word are kept; a document all of whose lines are deleted stays with an
-empty text; repeated rows lose the runs that their first copy has; an empty table gives no rows; columns whose names clash
-with n_lines and n_deleted are replaced in dedup_lines() and untouched in clean().
+empty text; repeated rows lose the runs that their first copy has; an empty table gives no rows; texts of any length are
+processed whole, one at a time; columns whose names clash with n_lines and n_deleted are replaced in dedup_lines() and
+untouched in clean(). Equal hashes count as equal lines: with 10**12 lines two different ones have equal hashes with a
+probability below 10**-14.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import deque
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,77 +38,119 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesmith.llm.common import boxed, materialize, without
+from seriesmith.llm.common import boxed, join_small, materialize, without
 
 MIN_WORDS = 50
-LINES = T.StructType([T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("hash", T.ArrayType(T.LongType())), T.StructField("words", T.ArrayType(T.IntegerType()))])
-WINDOW = pa.struct([("print", pa.int64()), ("place", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("high", pa.int64()), ("low", pa.int64())])
-WINDOWS = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("print", T.LongType()),
-            T.StructField("place", T.IntegerType()),
-            T.StructField("first", T.IntegerType()),
-            T.StructField("last", T.IntegerType()),
-            T.StructField("high", T.LongType()),
-            T.StructField("low", T.LongType()),
-        ]
-    )
-)
-
-
-def line_hash(line: str) -> int:
-    return int.from_bytes(hashlib.blake2b(line.encode(), digest_size=8).digest(), "big", signed=True)
-
-
-def lines_of(text: str | None) -> tuple[list[int], list[int], list[int]]:
-    """Numbers, hashes and words of the lines that have words."""
-    at, hashes, words = [], [], []
+#: Bytes of a line's hash.
+HASH = 16
+_INTS, _PA_INTS = T.ArrayType(T.IntegerType()), pa.list_(pa.int32())
+LINES = T.StructType([T.StructField("at", _INTS), T.StructField("words", _INTS), T.StructField("hashes", T.BinaryType()), T.StructField("place", _INTS), T.StructField("low", _INTS), T.StructField("high", _INTS)])
+FURTHER = T.StructType([T.StructField("group", T.BinaryType()), T.StructField("before", T.IntegerType()), T.StructField("behind", T.IntegerType())])
+MATCH = T.StructType([T.StructField("left", T.IntegerType()), T.StructField("right", T.IntegerType()), T.StructField("words", T.LongType()), T.StructField("more", T.ArrayType(FURTHER))])
+_FURTHER = pa.struct([("group", pa.binary()), ("before", pa.int32()), ("behind", pa.int32())])
+_MATCH = pa.struct([("left", pa.int32()), ("right", pa.int32()), ("words", pa.int64()), ("more", pa.list_(_FURTHER))])
+
+
+def line_hash(line: str) -> bytes:
+    return hashlib.blake2b(line.encode(), digest_size=HASH).digest()
+
+
+def lines_of(text: str | None) -> tuple[list[int], list[int], list[bytes]]:
+    """Numbers, words and hashes of the lines that have words."""
+    at, words, hashes = [], [], []
     for k, line in enumerate((text or "").split("\n")):
         n = len(line.encode().split())
         if n:
             at.append(k)
-            hashes.append(line_hash(line))
             words.append(n)
-    return at, hashes, words
+            hashes.append(line_hash(line))
+    return at, words, hashes
 
 
-def windows(hashes: list[int], words: list[int], min_words: int) -> list[tuple[int, ...]]:
-    """(fingerprint, its place, first and last place, digest in two halves) of each window; places count the lines with words."""
+def windows(words: list[int], min_words: int) -> list[tuple[int, int]]:
+    """(first, last place) of the shortest runs with min_words words that start, or that end, at a line; in order."""
     upto = np.concatenate(([0], np.cumsum(words)))
     if upto[-1] < min_words:
         return []
-    n = len(hashes)
+    n = len(words)
     last = np.searchsorted(upto, upto[:-1] + min_words) - 1  # of the window that starts at each line
     first = np.searchsorted(upto, upto[1:] - min_words, side="right") - 1  # of the window that ends at each line
-    runs = {(i, int(last[i])) for i in range(n) if last[i] < n} | {(int(first[j]), j) for j in range(n) if first[j] >= 0}
-    raw = np.array(hashes, "<i8").tobytes()
+    starting = [(i, j) for i, j in enumerate(last.tolist()) if j < n]
+    ending = [(i, j) for j, i in enumerate(first.tolist()) if i >= 0]
+    return sorted({*starting, *ending})
+
+
+def winnow(hashes: list[bytes], words: list[int], min_words: int) -> dict[int, tuple[int, int]]:
+    """The selected places, each with the first and the last place of the windows that select it."""
+    found: dict[int, tuple[int, int]] = {}
+    least: deque[int] = deque()  # places from the smallest hash on; of equal hashes the last
+    seen = 0
+    for i, j in windows(words, min_words):  # both ends only ever grow
+        while seen <= j:
+            while least and hashes[least[-1]] >= hashes[seen]:
+                least.pop()
+            least.append(seen)
+            seen += 1
+        while least[0] < i:
+            least.popleft()
+        low, _ = found.get(least[0], (i, j))
+        found[least[0]] = (low, j)
+    return found
+
+
+def _lines_udf(min_words: int):
+    @F.arrow_udf(LINES)
+    def split_lines(texts: pa.Array) -> pa.Array:
+        rows = []
+        for t in texts:
+            at, words, hashes = lines_of(t.as_py())
+            found = winnow(hashes, words, min_words)
+            rows.append((at, words, b"".join(hashes), list(found), [a for a, _ in found.values()], [b for _, b in found.values()]))
+        kinds = (_PA_INTS, _PA_INTS, pa.binary(), _PA_INTS, _PA_INTS, _PA_INTS)
+        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=LINES.names)
+
+    return split_lines
+
+
+def extend(mine: bytes, at: int, first: bytes, first_at: int) -> tuple[int, int]:
+    """Lines that two contexts share to the left and to the right of a line that both have, at these places."""
+    if mine == first and at == first_at:
+        return at, len(mine) // HASH - 1 - at
+    left = right = 0
+    most_left, most_right = min(at, first_at), min(len(mine) // HASH - at, len(first) // HASH - first_at) - 1
+    a, b = at * HASH, first_at * HASH
+    while left < most_left and mine[a - HASH : a] == first[b - HASH : b]:
+        left, a, b = left + 1, a - HASH, b - HASH
+    a, b = (at + 1) * HASH, (first_at + 1) * HASH
+    while right < most_right and mine[a : a + HASH] == first[b : b + HASH]:
+        right, a, b = right + 1, a + HASH, b + HASH
+    return left, right
+
+
+def further(context: bytes, at: int, words: list[int], before: int, behind: int, left: int, right: int, min_words: int) -> list[tuple[bytes, int, int]]:
+    """The next groups of a position, (name, lines of the shared run before and behind it): on each side where its context
+    goes on behind the match, unless the run is more than a window holds."""
     out = []
-    for i, j in sorted(runs):
-        digest = hashlib.blake2b(raw[8 * i : 8 * j + 8], digest_size=16).digest()
-        least = min(hashes[i : j + 1])
-        place = next(k for k in range(j, i - 1, -1) if hashes[k] == least)
-        out.append((least, place, i, j, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)))
+    for a, b in ((left + 1, behind), (before, right + 1)):
+        low, high = at - a, at + b
+        if low >= 0 and high < len(words) and min(sum(words[low:high]), sum(words[low + 1 : high + 1])) < min_words:
+            run = context[low * HASH : high * HASH + HASH]
+            out.append((hashlib.blake2b(a.to_bytes(4, "big") + run, digest_size=HASH).digest(), a, b))
     return out
 
 
-@F.arrow_udf(LINES)
-def split_lines(texts: pa.Array) -> pa.Array:
-    rows = [lines_of(t.as_py()) for t in texts]
-    kinds = (pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()))
-    return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["at", "hash", "words"])
+def _match_udf(min_words: int):
+    @F.arrow_udf(MATCH)
+    def match_first(context: pa.Array, at: pa.Array, words: pa.Array, before: pa.Array, behind: pa.Array, first: pa.Array, first_at: pa.Array) -> pa.Array:
+        out = []
+        for c, k, w, a, b, f, m in zip(*(x.to_pylist() for x in (context, at, words, before, behind, first, first_at)), strict=True):
+            left, right = extend(c, k, f, m)
+            more = further(c, k, w, a, b, left, right, min_words)
+            out.append((left, right, sum(w[k - left : k + right + 1]), [dict(zip(FURTHER.names, x, strict=True)) for x in more]))
+        columns = zip(*out, strict=True) if out else [()] * len(MATCH)
+        return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _MATCH, strict=True)], fields=list(_MATCH))
 
-
-def _window_udf(min_words: int):
-    @F.arrow_udf(WINDOWS)
-    def window_rows(hashes: pa.Array, words: pa.Array) -> pa.Array:
-        rows = [windows(h, w, min_words) for h, w in zip(hashes.to_pylist(), words.to_pylist(), strict=True)]
-        flat = [x for r in rows for x in r]
-        columns = zip(*flat, strict=True) if flat else [()] * len(WINDOW)
-        values = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, WINDOW, strict=True)], fields=list(WINDOW))
-        return pa.ListArray.from_arrays(np.cumsum([0, *map(len, rows)]).astype(np.int32), values)
-
-    return window_rows
+    return match_first
 
 
 @F.arrow_udf(T.StringType())
@@ -113,29 +165,61 @@ def without_lines(texts: pa.Array, at: pa.Array, runs: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
+def _recurring(positions: DataFrame, of: str) -> DataFrame:
+    """The groups (column of) with two positions or more."""
+    counted = positions.groupBy(of).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return materialize(counted.select(F.col(of).alias("_group")), "groups")
+
+
+def _positions(lined: DataFrame) -> DataFrame:
+    """Positions of fingerprints that recur: group, _row, order, place, context, at (the place in it), words,
+    and before and behind: the lines that the group shares around it."""
+    hashes, ends = F.col("_lines.hashes"), F.arrays_zip("_lines.place", "_lines.low", "_lines.high")
+    of = F.substring(hashes, F.col("p.place") * HASH + 1, F.lit(HASH))
+    prints = lined.select("_row", "_lines", F.explode(ends).alias("p")).select("_row", of.alias("group"), "p")
+    hits = prints.join(_recurring(prints, "group"), F.col("group") == F.col("_group"))
+    hits = materialize(hits.groupBy(F.col("_row").alias("_of")).agg(F.collect_list("p").alias("prints")), "hits")  # fewer than the document's lines
+    held = join_small(lined.select("_row", "_id", "_lines"), hits, F.col("_row") == F.col("_of"))
+    held = held.select("_row", "_id", "_lines", F.explode("prints").alias("p"))
+    size = F.col("p.high") - F.col("p.low") + 1
+    return held.select(
+        of.alias("group"), "_row", F.col("p.place").alias("place"),
+        F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"), F.col("p.place").alias("place")).alias("order"),
+        F.substring(hashes, F.col("p.low") * HASH + 1, size * HASH).alias("context"), (F.col("p.place") - F.col("p.low")).alias("at"),
+        F.slice(F.col("_lines.words"), F.col("p.low") + 1, size).alias("words"), F.lit(0).alias("before"), F.lit(0).alias("behind"),
+    )
+
+
 def repeated_runs(lined: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """_row, runs: array of (first, last) places that occurred earlier. lined: _row, _id and _lines of each document."""
-    udf = _window_udf(min_words)
-    every = lined.select("_row", "_id", F.inline(udf(F.col("_lines.hash"), F.col("_lines.words"))))
-    every = materialize(every, "windows")
-    prints = every.groupBy("print").agg(F.min("_row").alias("a"), F.max("_row").alias("b"), F.min("place").alias("c"), F.max("place").alias("d"))
-    prints = prints.filter("a != b OR c != d").select(F.col("print").alias("_print"))
-    # the merge hints keep the plan, and so its cost for each row, the same at every size
-    matched = every.join(materialize(prints, "prints").hint("merge"), F.col("print") == F.col("_print"), "left_semi")
-    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"), F.col("first").alias("first"))
-    firsts = matched.groupBy("high", "low").agg(F.min(order).alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    firsts = materialize(firsts.select(F.col("high").alias("_high"), F.col("low").alias("_low"), "lead"), "firsts")
-    again = matched.join(firsts.hint("merge"), (F.col("high") == F.col("_high")) & (F.col("low") == F.col("_low"))).filter(order != F.col("lead"))
-    return again.groupBy("_row").agg(F.collect_set(F.struct("first", "last")).alias("runs"))  # two for each line of a document at most
+    positions = materialize(_positions(lined), "positions")
+    match_first, runs = _match_udf(min_words), []
+    while True:
+        lead = F.min_by(F.struct("context", "at", "order"), "order").alias("lead")
+        firsts = materialize(positions.groupBy(F.col("group").alias("_of")).agg(lead), "firsts")
+        if firsts.isEmpty():
+            break
+        met = positions.join(firsts.hint("merge"), F.col("group") == F.col("_of"))
+        met = met.withColumn("m", match_first("context", "at", "words", "before", "behind", "lead.context", "lead.at"))
+        met = met.withColumn("again", (F.col("order") != F.col("lead.order")) & (F.col("m.words") >= min_words))
+        matched = materialize(met.filter("again OR size(m.more) > 0").drop("group", "before", "behind", "lead", "_of"), "matched")
+        runs.append(matched.filter("again").select("_row", (F.col("place") - F.col("m.left")).alias("first"), (F.col("place") + F.col("m.right")).alias("last")))
+        rest = matched.select(F.explode("m.more").alias("g"), "_row", "place", "order", "context", "at", "words").select("g.*", "_row", "place", "order", "context", "at", "words")
+        rest = rest.join(_recurring(rest, "group").hint("merge"), F.col("group") == F.col("_group")).drop("_group")
+        positions = materialize(rest.dropDuplicates(["group", "_row", "place"]), "positions")  # two ways can lead to a group
+    if not runs:
+        return positions.select("_row", F.array(F.struct(F.lit(0).alias("first"), F.lit(0).alias("last"))).alias("runs"))
+    return reduce(DataFrame.union, runs).groupBy("_row").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
 
 
 def _cleaned(docs: DataFrame, text: str, doc_id: str, min_words: int) -> DataFrame:
-    """The columns of docs boxed, _lines, runs, and _text: the text cleaned."""
+    """The columns of docs boxed, _lines, runs, and _text: the text cleaned. Texts stay in place where runs are few."""
     others = without(docs.columns, [text])
-    lined = docs.select(*boxed(others), F.col(doc_id).alias("_id"), F.col(text).alias("_text"), split_lines(F.col(text)).alias("_lines"), F.monotonically_increasing_id().alias("_row"))
+    split = _lines_udf(min_words)(F.col(text)).alias("_lines")
+    lined = docs.select(*boxed(others), F.col(doc_id).alias("_id"), F.col(text).alias("_text"), split, F.monotonically_increasing_id().alias("_row"))
     lined = materialize(lined, "lines")
     runs = repeated_runs(lined.select("_row", "_id", "_lines"), min_words).select(F.col("_row").alias("_of"), "runs")
-    joined = lined.join(materialize(runs, "runs").hint("merge"), F.col("_row") == F.col("_of"), "left")
+    joined = join_small(lined, materialize(runs, "runs"), F.col("_row") == F.col("_of"), "left")
     cleaned = without_lines(F.col("_text"), F.col("_lines.at"), F.col("runs"))
     return joined.withColumn("_text", F.when(F.col("runs").isNotNull(), cleaned).otherwise(F.col("_text")))
 

@@ -59,17 +59,51 @@ def test_brute_force(table, seed):
     assert sum(len(a[1] or "") != len(r["text"] or "") for a, r in zip(rows, got, strict=True)) > 3
 
 
-def test_windows_cover_runs():
+def test_selected_minima_cover_runs():
     rng = random.Random(1)
-    for _ in range(100):
-        words = [rng.randint(1, 9) for _ in range(rng.randint(1, 20))]
-        hashes = [rng.randint(0, 5) for _ in words]
-        got = L.windows(hashes, words, 12)
-        for least, place, i, j, *_ in got:
-            assert sum(words[i : j + 1]) >= 12 and least == min(hashes[i : j + 1]) == hashes[place] and i <= place <= j
-            assert sum(words[i:j]) < 12 or sum(words[i + 1 : j + 1]) < 12
+    n_lines = n_selected = 0
+    for _ in range(300):
+        words = [rng.randint(1, 9) for _ in range(rng.randint(1, 40))]
+        hashes = [bytes([rng.randint(0, 5)]) * L.HASH for _ in words]
+        got = L.windows(words, 12)
+        want = {}
+        for i, j in got:
+            assert sum(words[i : j + 1]) >= 12 and (sum(words[i:j]) < 12 or sum(words[i + 1 : j + 1]) < 12)
+            place = max(k for k in range(i, j + 1) if hashes[k] == min(hashes[i : j + 1]))
+            low, high = want.get(place, (i, j))
+            want[place] = (min(low, i), max(high, j))
+        assert L.winnow(hashes, words, 12) == want
         if sum(words) >= 12:
-            assert {k for _, _, i, j, *_ in got for k in range(i, j + 1)} == set(range(len(words)))
+            assert {k for i, j in got for k in range(i, j + 1)} == set(range(len(words)))
+        n_lines, n_selected = n_lines + len(words), n_selected + len(want)
+    assert n_selected < 0.8 * n_lines, "only minima are selected"
+
+
+def test_matches_are_extended_both_ways():
+    a, b = (b"".join(bytes([x]) * L.HASH for x in text) for text in (b"abcdefg", b"xbcdez"))
+    assert L.extend(a, 3, b, 3) == (2, 1) and L.extend(a, 3, a, 3) == (3, 3)
+    assert L.extend(a, 6, a, 0) == (0, 0) and L.extend(a, 0, b, 5) == (0, 0)
+
+
+@pytest.mark.parametrize("least", [10, 16])
+def test_partners_other_than_the_first(table, least):
+    """Documents that share a line with all others, but longer runs around it with some only."""
+    rng = random.Random(least)
+    line = lambda k: f"l{k} " + "w " * (k % 4)
+    rows = []
+    for i in range(120):
+        before, behind = ([line(rng.choice([10 * k, 10 * k + 1, 10 * k + 2])) for k in range(side, side + 6)] for side in (10, 50))
+        rows.append((i, "\n".join([*before, "common to all", *behind])))
+    got = L.clean(table(rows, "doc_id long, text string"), min_words=least).orderBy("doc_id").collect()
+    want = brute(rows, least)
+    assert [r["text"] for r in got] == want and sum(w != t for w, (_, t) in zip(want, rows, strict=True)) > 20
+
+
+def test_extension_is_needed(table, monkeypatch):
+    rows = rows_of(1)
+    docs = table(rows, "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(L, "extend", lambda *_: (0, 0))
+    assert [r["text"] for r in L.clean(docs, min_words=10).orderBy("doc_id").collect()] != brute(rows, 10)
 
 
 def test_long_passage_and_counts(table):
