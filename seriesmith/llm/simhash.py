@@ -15,8 +15,8 @@ have 65 nodes at most. Components follow from the edges.
 
 Defined cases: a null text counts as empty, and texts without words have fingerprint zero; fewer words than a shingle give
 one shingle of them all; a component's id is its smallest doc_id, null ids being left out; an empty table gives no rows;
-near_dedup() leaves other columns out, whatever their names. Of repeated rows with a group's smallest doc_id one stays in
-keep_one(), and rows without a doc_id stay there.
+near_dedup() leaves other columns out, whatever their names; ties can't arise, as equal fingerprints are one node; texts
+of any length are processed whole. KEY_NODES changes only where links are looked for, not which are found.
 """
 
 from __future__ import annotations
@@ -235,11 +235,3 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
 
 def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
-
-
-def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with one document of each component: that with its smallest doc_id."""
-    stay = near_dedup(docs, text, doc_id).filter(F.col(doc_id) == F.col("component_id")).select(doc_id).distinct()
-    stay = materialize(stay, "stay")
-    kept = docs.join(stay.hint("merge"), doc_id, "left_semi").dropDuplicates([doc_id])
-    return kept.select(*docs.columns).unionByName(docs.filter(F.col(doc_id).isNull()))

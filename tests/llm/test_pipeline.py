@@ -6,10 +6,10 @@ import numpy as np
 
 import corpus_pipeline as P
 from seriesmith.llm import packing
+from tests.llm.test_jaccard import brute as brute_near
 from tests.llm.test_line_dedup import brute as brute_lines
 from tests.llm.test_mixing import brute_targets, words
 from tests.llm.test_quality import brute as brute_quality
-from tests.llm.test_simhash import brute_components, brute_print
 
 
 def corpus(spark, path):
@@ -19,6 +19,8 @@ def corpus(spark, path):
     rows = [(i, fresh(rng.randint(20, 200)) + ("\n" + passage if i % 5 == 0 else ""), "en", f"s{i % 4}", i) for i in range(80)]
     rows += [(100 + i, rows[i][1], "en", "s1", 0) for i in range(10)] + [(200, "short", "en", "s0", 0), (201, "same same " * 30, "en", "s0", 0), (202, None, "en", None, None)]
     rows += [(300, fresh(5000), "en", "s2", 0)]
+    near = fresh(90).split()
+    rows += [(400 + i, " ".join([*near[: 10 * i], f"x{i}", *near[10 * i + 1 :]]), "en", "s3", 0) for i in range(5)]  # a word apart: similarity 0.9 or less
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{path}/documents.parquet")
     return [(r[0], r[1], r[3]) for r in rows]
 
@@ -34,11 +36,8 @@ def test_run(spark, tmp_path):
             kept.append((i, t, s))
     cleaned = brute_lines([(i, t) for i, t, _ in kept], 50)
     kept = [(i, t, s) for (i, _, s), t in zip(kept, cleaned, strict=True)]
-    prints = {}
-    for i, t, _ in kept:
-        prints.setdefault(brute_print(t), []).append(i)
-    least = brute_components(prints)
-    kept = [(i, t, s) for i, t, s in kept if least[brute_print(t)] == i]
+    least = brute_near([(i, t) for i, t, _ in kept])
+    kept = [(i, t, s) for i, t, s in kept if least[i] == i]
     sizes = {}
     for _, t, s in kept:
         sizes[s] = sizes.get(s, 0) + words(t)
