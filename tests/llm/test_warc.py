@@ -1,5 +1,7 @@
 import gzip
+import pathlib
 import random
+import re
 
 import pytest
 
@@ -11,11 +13,12 @@ def record(i, payload, refers=None):
 
 
 def whole(data):
-    return W.members(data) + b"\0"
+    assert W.members(data)[-1] == 0
+    return W.members(data)
 
 
 def found(data):
-    return [(a, b, x if isinstance(x, str) else int(x.headers["warc-record-id"][10:-1])) for a, b, x in W.salvage(data)]
+    return [(a, b, x if isinstance(x, str) else int(x.headers["x-page-id"])) for a, b, x in W.salvage(data)]
 
 
 def test_members_are_gzip():
@@ -86,17 +89,50 @@ def test_real_pages_and_payloads(spark, sf, tmp_path):
     assert {r["page_id"]: bytes(r["payload"]) for r in got.filter("record_type = 'response'").collect()} == html
 
 
-def test_damaged_files(spark, table, tmp_path):
-    W.write_archives(table([(i, "u", f"page {i} " * 30) for i in range(40)], "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
-    (file,) = (tmp_path / "w").glob("part-*")
+def damaged(spark, table, path):
+    W.write_archives(table([(i, "u", f"page {i} " * 30) for i in range(40)], "page_id long, url string, html string").coalesce(1), path)
+    (file,) = pathlib.Path(path).glob("part-*")
     data = bytearray(file.read_bytes())
     data[len(data) // 2] ^= 0xFF
-    for crc in (tmp_path / "w").glob(".*.crc"):
+    for crc in pathlib.Path(path).glob(".*.crc"):
         crc.unlink()
     file.write_bytes(bytes(data))
+
+
+def test_damaged_files(spark, table, tmp_path):
+    damaged(spark, table, str(tmp_path / "w"))
     got = W.read_archives(spark, str(tmp_path / "w")).collect()
     assert sum(r["kind"] == "record" for r in got) == 39 and sum(r["kind"] == "gap" and r["reason"] != "" for r in got) == 1
 
 
+def test_gaps_are_logged(spark, table, tmp_path):
+    damaged(spark, table, str(tmp_path / "w"))
+    with pytest.warns(UserWarning, match="1 gaps.*39 of 40"):
+        got = W.salvaged(spark, str(tmp_path / "w"), str(tmp_path / "gaps"), 40)
+    assert got.count() == 39 and {r["kind"] for r in got.collect()} == {"record"}
+    (gap,) = spark.read.parquet(str(tmp_path / "gaps")).collect()
+    assert 0 < gap["start"] < gap["end"] and gap["reason"] and gap["archive"].endswith(".txt")
+
+
+def test_files_are_rolled_by_bytes(spark, table, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    pages = table([(i, "u", rng.randbytes(rng.choice([10, 40_000])).hex()) for i in range(200)], "page_id long, url string, html string").coalesce(1)
+    monkeypatch.setattr(W, "ROWS_PER_FILE", 2)
+    W.write_archives(pages, str(tmp_path / "w"))
+    sizes = [f.stat().st_size for f in (tmp_path / "w").glob("part-*")]
+    assert len(sizes) > 2 and max(sizes) < 2 * (W.ROW_BYTES + 60_000)
+    assert W.read_archives(spark, str(tmp_path / "w")).filter("kind = 'record'").count() == 200
+
+
+def test_headers(spark, table, tmp_path):
+    rows = [(1, "http://a/", "same", 1), (2, "http://b/", "same", 2), (2, "http://b/", "same", 3)]
+    W.write_archives(table(rows, "page_id long, url string, html string, head int").coalesce(1), str(tmp_path / "w"))
+    (file,) = (tmp_path / "w").glob("part-*")
+    heads = [x.headers for _, _, x in W.salvage(file.read_bytes())]
+    assert len({h["warc-record-id"] for h in heads}) == 3 and all(re.fullmatch(r"\d{4}-\d\d-\d\dT[\d:]{8}Z", h["warc-date"]) for h in heads)
+    (again,) = (h for h in heads if h["warc-type"] == "revisit")
+    assert again["warc-refers-to-target-uri"] == "http://b/" and again["x-refers-to-page"] == "2"
+
+
 def test_empty(table):
     assert W.archive_pages(table([], "page_id long, url string, html string")).count() == 0
