@@ -37,6 +37,22 @@ def test_hot_group_splits_and_flushes(table, monkeypatch):
     rows = [(i, "HOT text" if i % 3 else f"t{rng.randint(0, 400)}") for i in range(2500)]
     docs = table(rows, "doc_id long, text string").repartition(5)
     check(rows, D.dedup(docs).collect())
+    monkeypatch.setattr(D, "HOT_ENTRIES", 1)  # each text that two tasks have is merged in groups
+    check(rows, D.dedup(docs).collect())
+    check(ROWS, D.dedup(table(ROWS, "doc_id long, text string").repartition(6)).collect())
+
+
+def test_merge_keeps_texts_apart():
+    import pyarrow as pa
+
+    entries = [(7, 0, 1, 2, 10, b"a"), (7, 0, 2, 1, 30, b"b"), (7, 0, 3, 1, 20, b"a"), (7, 1, 4, 1, None, b"a")]
+    columns = list(zip(*entries, strict=True))
+    names = ["key", "salt", "entry", "n", "top", "text"]
+    batch = pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.binary())], names=names)
+    out = [r for b in D.merge(iter([batch[:2], batch[2:]])) for r in b.to_pylist()]
+    assert {r["entry"]: (r["into"], r["best"], r["n"], r["top"], r["text"]) for r in out} == {
+        1: (3, False, 3, 20, b"a"), 3: (3, True, None, None, None), 2: (2, True, 1, 30, b"b"), 4: (4, True, 1, None, b"a"),
+    }
 
 
 def test_collisions_are_chained(spark):
@@ -63,7 +79,9 @@ def test_directory():
         depth_of.setdefault((b, c >> (8 - d.local[b])), []).append(c)
     assert len(depth_of) == len(load), "a bucket is one range of keys"
     assert all(size <= 200 for b, size in load.items() if b != d.slots[3 >> (8 - d.depth)])
-    assert D.Directory({}, 10).slots == [0]
+    firsts = list(dict.fromkeys(d.slots))
+    assert firsts == sorted(firsts) and d.slots == sorted(d.slots), "buckets are ranges of keys in order"
+    assert D.Directory({}, 10, 8).slots == [0]
 
 
 def test_edges(table):
