@@ -1,15 +1,17 @@
 """Best-fit packing with bound-certified repacking.
 
-Documents are tokenized, ended by an end id, and only those longer than a sequence are cut. Each task packs its pieces by
-best-fit decreasing. A lower bound from dual feasible functions certifies a task's number of bins: equal numbers mean that
-no packing of these pieces is better. Bins with gaps, whether their task was certified or not, are handed on: the tasks'
-open bins are exchanged between fewer and fewer groups, which rerun best-fit decreasing over the documents in them and keep
-the result where it needs fewer bins. It ends when the number of bins equals the lower bound of all pieces, or when the
-open bins have met in one group.
+Documents are tokenized, ended by an end id, and only those longer than a sequence are cut. Each group of pieces, at first
+what a task reads, is packed by best-fit decreasing, and a lower bound from dual feasible functions certifies its number of
+bins: equal numbers mean that no packing of these pieces is better. A group is settled if it is certified and its gaps come
+to no more than a SETTLED part of its bins; a certified group with larger gaps, such as one of few pieces, can still share
+bins with others. The bins with gaps of groups that aren't settled are dealt to new groups, which rerun best-fit decreasing
+over the documents in them and keep the result where it needs fewer bins. Rounds end when all groups are settled, when the
+number of bins equals the lower bound of all pieces, when the open bins have met in one group, or when a round has saved
+less than a LEAST_GAIN part of the open bins.
 
 Defined cases: a null text is empty and has just the end id; repeated rows and equal lengths are packed one by one; an
 empty table gives no rows; a very long text gives as many pieces as it needs; the columns made here replace columns of the
-same names.
+same names. Bins with fewer than GAP free places are closed at once, which costs that many places a bin at most.
 """
 
 from __future__ import annotations
@@ -34,9 +36,10 @@ CAPACITY = 4096
 END_ID = 1
 #: Bins with fewer free places than this are closed at once.
 GAP = 16
-#: Pieces that are packed together, and rounds in which open bins are exchanged.
+#: Pieces that are packed together.
 CHUNK = 100_000
-ROUNDS = 4
+#: Free places of a certified group that needn't be filled, and bins that a round must save, by share.
+SETTLED = LEAST_GAIN = 0.001
 #: Distinct words of a generation; a Python worker remembers the ids of two of them.
 WORDS_KEPT = 250_000
 PIECES = T.ArrayType(
@@ -50,7 +53,7 @@ PIECES = T.ArrayType(
     )
 )
 PIECE = pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-MADE = ("piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+MADE = ("piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified")
 
 _tokenizers: dict[str, WordTokenizer] = {}
 
@@ -193,22 +196,25 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     return best
 
 
-def _repack(lengths: np.ndarray, old: np.ndarray | None, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bin, place): a new packing, or the old one where it is certified or no worse."""
-    if old is not None and len(old):
-        _, bins = np.unique(old, return_inverse=True)
-        n_old = int(bins.max()) + 1
-        new, places = (None, None) if n_old == lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity) else best_fit(lengths, capacity)
-        if new is None or int(new.max()) + 1 >= n_old:
-            order = np.argsort(bins, kind="stable")
-            ends = np.cumsum(lengths[order])
-            starts = ends - lengths[order]
-            lead = np.concatenate(([True], np.diff(bins[order]) > 0))
-            places = np.empty_like(lengths)
-            places[order] = starts - np.maximum.accumulate(np.where(lead, starts, 0))
-            return bins, places
-        return new, places
-    return best_fit(lengths, capacity)
+def _repack(lengths: np.ndarray, old: np.ndarray | None, capacity: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(bin, place, certified): a new packing, or the old one where it is certified or no worse."""
+    bound = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
+    if old is None:
+        bins, places = best_fit(lengths, capacity)
+        return bins, places, int(bins.max()) + 1 == bound
+    _, bins = np.unique(old, return_inverse=True)
+    n_old = int(bins.max()) + 1
+    if n_old > bound:
+        new, places = best_fit(lengths, capacity)
+        if int(new.max()) + 1 < n_old:
+            return new, places, int(new.max()) + 1 == bound
+    order = np.argsort(bins, kind="stable")
+    ends = np.cumsum(lengths[order])
+    starts = ends - lengths[order]
+    lead = np.concatenate(([True], np.diff(bins[order]) > 0))
+    places = np.empty_like(lengths)
+    places[order] = starts - np.maximum.accumulate(np.where(lead, starts, 0))
+    return bins, places, n_old == bound
 
 
 def _packer(capacity: int, chunk: int, tag: int, old: bool, keep_open: bool):
@@ -220,13 +226,14 @@ def _packer(capacity: int, chunk: int, tag: int, old: bool, keep_open: bool):
             nonlocal number
             table = pa.Table.from_batches(held)
             lengths = table.column("length").to_numpy().astype(np.int64)
-            bins, places = _repack(lengths, table.column("sequence_id").to_numpy() if old else None, capacity)
+            bins, places, certified = _repack(lengths, table.column("sequence_id").to_numpy() if old else None, capacity)
             fill = np.bincount(bins, weights=lengths).astype(np.int64)
-            is_open = (capacity - fill[bins] >= GAP) & keep_open
-            for name in ("sequence_id", "offset", "open"):
-                if name in table.column_names:
-                    table = table.drop_columns([name])
-            table = table.append_column("sequence_id", pa.array(bins + number)).append_column("offset", pa.array(places)).append_column("open", pa.array(is_open))
+            settled = certified and len(fill) * capacity - fill.sum() <= SETTLED * len(fill) * capacity
+            is_open = (capacity - fill[bins] >= GAP) & (keep_open and not settled)
+            made = {"sequence_id": bins + number, "offset": places, "certified": np.full(len(bins), certified), "open": is_open}
+            table = table.drop_columns([name for name in made if name in table.column_names])
+            for name, values in made.items():
+                table = table.append_column(name, pa.array(values))
             number += len(fill)
             yield from table.combine_chunks().to_batches(max_chunksize=10_000)
 
@@ -244,30 +251,30 @@ def _packer(capacity: int, chunk: int, tag: int, old: bool, keep_open: bool):
 
 
 def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", capacity: int = CAPACITY, chunk: int = CHUNK) -> DataFrame:
-    """A row for each piece: the document's other columns, piece, start, length, ids_crc32, sequence_id, offset."""
+    """A row for each piece: the document's other columns, piece, start, length, ids_crc32, sequence_id, offset, and whether
+    the number of bins of the group in which it was packed at last is certified."""
     pieces = materialize(pieces_of(docs, text, tokenizer_path, capacity), "pieces")
-    schema = T.StructType([*pieces.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("open", T.BooleanType())])
+    kinds = {"sequence_id": T.LongType(), "offset": T.LongType(), "certified": T.BooleanType(), "open": T.BooleanType()}
+    schema = T.StructType([*pieces.schema, *(T.StructField(name, kind) for name, kind in kinds.items())])
     histogram = np.zeros(capacity + 1, np.int64)
     for length, n in pieces.groupBy("length").count().collect():  # as many rows as lengths
         histogram[length] = n
     bound = lower_bound(histogram, capacity)
     state = materialize(pieces.mapInArrow(_packer(capacity, chunk, 0, False, True), schema), "packed")
     closed: list[DataFrame] = []
-    n_closed: list[int] = []
-    for k in range(1, ROUNDS + 1):
+    n_closed, n_before, last = 0, None, False
+    while not last:
         first = F.when(F.col("offset") == 0, 1)  # each bin has one piece at its start
         n_open, bins_open, n_here = state.agg(F.count_if("open"), F.count(F.when(F.col("open"), first)), F.count(first)).first()
-        n_bins = n_here + sum(n_closed)
-        if n_bins <= bound or bins_open < 2:
+        n_bins = n_closed + n_here
+        if n_bins <= bound or bins_open < 2 or (n_before is not None and n_before - n_bins < LEAST_GAIN * bins_open):
             break
-        groups = -(-n_open // chunk)
         closed.append(state)
-        n_closed.append(n_here - bins_open)
+        n_closed, n_before = n_bins - bins_open, n_bins
+        groups = -(-n_open // chunk)
+        last = groups == 1
         dealt = state.filter("open").repartition(groups, "sequence_id")
-        last = groups == 1 or k == ROUNDS
-        state = materialize(dealt.mapInArrow(_packer(capacity, chunk, k, True, not last), schema), "packed")
-        if last:
-            break
+        state = materialize(dealt.mapInArrow(_packer(capacity, chunk, len(closed), True, not last), schema), "packed")
     out = state
     for x in closed:
         out = out.unionByName(x.filter("NOT open"))

@@ -96,9 +96,34 @@ def test_repack_is_never_worse():
         x = np.array([rng.randint(1, 4096) for _ in range(40)])
         old, _ = P.best_fit(x[::-1].copy(), 4096)
         old = old[::-1] + 7
-        bins, places = P._repack(x, old, 4096)
+        bins, places, certified = P._repack(x, old, 4096)
         check_bins(x, bins, places, 4096)
         assert len(set(bins)) <= len(set(old))
+        assert certified == (len(set(bins)) == P.lower_bound(np.bincount(x, minlength=4097), 4096))
+
+
+def test_only_groups_that_are_not_settled_stay_open():
+    import pyarrow as pa
+
+    class Task:
+        def partitionId(self):
+            return 3
+
+    def packed(lengths):
+        batch = pa.RecordBatch.from_arrays([pa.array(lengths, pa.int64())], names=["length"])
+        before, P.TaskContext = P.TaskContext, type("Context", (), {"get": staticmethod(Task)})
+        rows = [r for b in P._packer(4096, 10_000, 0, False, True)(iter([batch])) for r in b.to_pylist()]
+        P.TaskContext = before
+        return rows
+
+    full = packed([4096] * 50)
+    assert all(r["certified"] and not r["open"] for r in full)
+    few = packed([1000])
+    assert few[0]["certified"] and few[0]["open"], "alone no packing is better, but its bin can be shared"
+    large = packed([1024] * 4002)
+    assert all(r["certified"] and not r["open"] for r in large), "a gap of half a bin in 1001"
+    apart = packed([2049] * 30)
+    assert all(r["certified"] and r["open"] for r in apart)
 
 
 def test_edges(plain, table):
