@@ -95,10 +95,10 @@ def table_bytes(table: DataFrame) -> int:
     return int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def join_small(large: DataFrame, small: DataFrame, on: Column, how: str = "inner") -> DataFrame:
-    """Joins a table of texts with one from materialize(). Up to BROADCAST_BYTES the latter is broadcast, so that texts stay
+def join_small(large: DataFrame, small: DataFrame, on: Column, how: str = "inner", limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Joins a table of texts with one from materialize(). Up to the limit of bytes the latter is broadcast, so that texts stay
     in place; beyond, both are dealt by key and sorted, with the same rows."""
-    return large.join(F.broadcast(small) if table_bytes(small) <= BROADCAST_BYTES else small.hint("merge"), on, how)
+    return large.join(F.broadcast(small) if table_bytes(small) <= limit else small.hint("merge"), on, how)
 
 
 def _delete(paths: list[tuple[SparkSession, str]]) -> None:

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from seriesmith.llm import chat, exact_dedup, line_dedup, mixing, packing, quality, secrets, simhash, urls, warc
 from seriesmith.llm.common import read_table
 
-#: The rules of the URL filter in order, and the hosts whose pages it blocks beside them.
+#: The rules of the URL filter in order, and the names whose hosts it blocks beside them, under each domain and wherever else
+#: pages have them.
 URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-BLOCKED_URLS = ("cheap-pills.example.com/", "free-bets.example.com/", "casino-win.example.org/", "spam-farm.example.org/", "ads-track.example.org/")
+BLOCKED_NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+DOMAINS = ("example.com", "example.net", "example.org")
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,15 +52,23 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path())
 
 
-def url_list(spark: SparkSession) -> DataFrame:
-    rows = [(e, a, True) for e, a in URL_RULES] + [(e, "block", False) for e in BLOCKED_URLS]
+def url_list(spark: SparkSession, pages: DataFrame | None = None) -> DataFrame:
+    """entry, action, is_rule: the rules, the hosts of BLOCKED_NAMES in DOMAINS, and the canonical URL of every page whose host
+    has a blocked name among its labels."""
+    rows = [(e, a, True) for e, a in URL_RULES] + [(f"{n}.{d}/", "block", False) for n in BLOCKED_NAMES for d in DOMAINS]
     fields = [F.struct(F.lit(e).alias("entry"), F.lit(a).alias("action"), F.lit(r).alias("is_rule")) for e, a, r in rows]
-    return spark.range(1).select(F.inline(F.array(*fields)))
+    fixed = spark.range(1).select(F.inline(F.array(*fields)))
+    if pages is None:
+        return fixed
+    host, path = urls.host_of(F.col("url")), urls.path_of(F.col("url"))
+    junk = pages.filter(F.arrays_overlap(F.split(host, r"\."), F.array(*map(F.lit, BLOCKED_NAMES))))
+    found = junk.select(urls.canonical(host, path).alias("entry"), F.lit("block").alias("action"), F.lit(False).alias("is_rule"))
+    return fixed.unionByName(found.distinct())
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
-    return urls.filter_urls(pages, url_list(spark)).select("page_id", "host", "path", "rule", "verdict")
+    return urls.filter_urls(pages, url_list(spark, pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,12 +177,15 @@ WITH u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([
   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 l AS (SELECT rule, action, split_part(rule, '/', 1) AS h, substr(rule, strpos(rule, '/')) AS p FROM
   (VALUES {", ".join(f"('{e}', '{a}')" for e, a in URL_RULES)}) AS v(rule, action)),
-b AS (SELECT unnest([{", ".join(repr(e[:-1]) for e in BLOCKED_URLS)}]) AS h),
+b AS (SELECT n || '.' || d AS h, '/' AS p FROM (SELECT unnest([{", ".join(map(repr, BLOCKED_NAMES))}]) AS n), (SELECT unnest([{", ".join(map(repr, DOMAINS))}]) AS d)
+  UNION SELECT host, path || CASE WHEN ends_with(path, '/') THEN '' ELSE '/' END FROM u
+  WHERE list_has_any(string_split(host, '.'), [{", ".join(map(repr, BLOCKED_NAMES))}])),
 best AS (SELECT host, path, max(struct_pack(n := length(rule), rule := rule, action := action)) AS r FROM (SELECT DISTINCT host, path FROM u)
-  JOIN l ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY host, path)
-SELECT page_id, host, path, r.rule AS rule, coalesce(r.action, CASE WHEN starts_with(path, '/') AND
-  EXISTS (SELECT 1 FROM b WHERE host = b.h OR ends_with(host, '.' || b.h)) THEN 'block' ELSE 'allow' END) AS verdict
-FROM u LEFT JOIN best USING (host, path)
+  JOIN l ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY host, path),
+hit AS (SELECT DISTINCT host, path FROM (SELECT DISTINCT host, path FROM u) JOIN b ON host = h OR ends_with(host, '.' || h)
+  WHERE starts_with(CASE WHEN ends_with(path, '/') THEN path ELSE path || '/' END, p))
+SELECT page_id, u.host, u.path, r.rule AS rule, coalesce(r.action, CASE WHEN hit.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN best USING (host, path) LEFT JOIN hit USING (host, path)
 """
 
 OP9_SQL = r"""

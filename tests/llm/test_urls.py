@@ -1,9 +1,12 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
 from seriesmith.llm import urls as U
-from seriesmith.llm.queries import BLOCKED_URLS, URL_RULES, url_list
+from seriesmith.llm.queries import BLOCKED_NAMES, DOMAINS, URL_RULES, url_list
+
+BLOCKED_URLS = [f"{n}.{d}/" for n in BLOCKED_NAMES for d in DOMAINS]
 
 
 def split(url):
@@ -16,9 +19,9 @@ def split(url):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), path[:stop]
 
 
-def fits(entry, host, path):
+def fits(entry, host, path, is_rule=True):
     h, _, p = entry.partition("/")
-    return (host == h or host.endswith("." + h)) and path.startswith("/" + p)
+    return bool(host) and (host == h or host.endswith("." + h)) and (path if is_rule or path.endswith("/") else path + "/").startswith("/" + p)
 
 
 def brute(url, rules, blocked):
@@ -26,7 +29,7 @@ def brute(url, rules, blocked):
     best = max((r for r in rules if fits(r[0], host, path)), key=lambda r: len(r[0]), default=None)
     if best:
         return host, path, *best
-    return host, path, None, "block" if any(fits(e, host, path) for e in blocked) else "allow"
+    return host, path, None, "block" if any(fits(e, host, path, False) for e in blocked) else "allow"
 
 
 URLS = [
@@ -77,3 +80,24 @@ def test_edges(spark, table):
     assert U.filter_urls(clash, url_list(spark)).count() == len(URLS)
     long = table([(1, "http://" + "a." * 200 + "net/" + "x/" * 200)], "page_id long, url string")
     assert U.filter_urls(long, url_list(spark)).first()["rule"] == "net/"
+
+
+def test_long_urls_cost_no_more_than_the_list(spark, table):
+    longest = table([(1, "http://" + "a." * 20_000 + "net/" + "x/" * 20_000), (2, "http://cheap-pills.example.org/" + "y" * 40_000)], "page_id long, url string")
+    began = time.perf_counter()
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in U.filter_urls(longest, url_list(spark)).collect()}
+    assert got == {1: ("net/", "block"), 2: (None, "block")} and time.perf_counter() - began < 20
+
+
+def test_a_list_of_urls(spark, table, monkeypatch):
+    """A list with many blocks, whether the filter and the verdicts are broadcast or not."""
+    pages = table([(i, f"http://h{i % 700}.example.com/a/{i}" + ("/" if i % 3 else "?q")) for i in range(3000)], "page_id long, url string")
+    entries = [f"h{i % 700}.example.com/a/{i}/" for i in range(0, 6000, 2)]
+    listed = table([(e, "block", False) for e in entries] + [(e, a, True) for e, a in URL_RULES], "entry string, action string, is_rule boolean")
+    rows = [(r["page_id"], r["url"]) for r in pages.collect()]
+    first = U.filter_urls(pages, listed).collect()
+    assert {r["page_id"] for r in first if r["verdict"] == "block"} == set(range(0, 3000, 2))
+    check(rows[:200], [r for r in first if r["page_id"] < 200], blocked=entries[:150])
+    monkeypatch.setattr(U, "BROADCAST_BLOCKS", 0)
+    monkeypatch.setattr(U, "VERDICT_BYTES", 0)
+    assert sorted(U.filter_urls(pages, listed).collect()) == sorted(first)
