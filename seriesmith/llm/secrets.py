@@ -5,21 +5,30 @@ runs and compressed bytes each give a new layer, which is searched in turn and m
 left. A layer that was seen before over the same stretch of the document (a cycle, such as an archive that unpacks to
 itself) isn't opened again. Spans found in a layer are mapped back to code points of the document.
 
+A base64 run is decoded from each of its first four characters, so that what is glued to it doesn't matter; lines of a run
+that is wrapped are decoded together and, unless they hold a compressed stream, alone. Of a compressed stream that is cut or
+broken what can be unpacked counts, streams that follow each other are all unpacked, and one that unpacks to more than
+``block_bytes`` is searched in blocks as it is unpacked: blocks overlap by OVERLAP characters, and longer runs of spaces count
+as that many, so that each base match lies in a block, however large the layer; a nested run that is longer than the overlap
+may be opened in parts.
+
 Defined cases: a null text counts as empty; an empty text gives zero counts, the digest of nothing and no spans; rows
-are independent, so ties and repeated rows give equal answers; the input's columns stay, but for those with the names made here, which are replaced; a compressed
-layer larger than ``max_layer_bytes`` when unpacked isn't opened and is counted in ``n_unopened``.
+are independent, so ties and repeated rows give equal answers; texts of any length are searched whole; an empty table gives
+no rows; the input's columns stay, but for those with the names made here, which are replaced; n_large counts the layers that
+were searched in blocks.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
 from collections import deque
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -43,7 +52,8 @@ ESCAPE = re.compile(
     r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}"
     r"|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|%u[0-9A-Fa-f]{4}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};"
 )
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:(?:[A-Za-z0-9+/]{60,}\r?\n)+[A-Za-z0-9+/]+|[A-Za-z0-9+/_-]{16,}+)={0,2}")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}+={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+\r?\n)+[A-Za-z0-9+/_-]++={0,2}")
 URLSAFE = bytes.maketrans(b"-_", b"+/")
 STOPS = np.ones(256, bool)
 STOPS[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")] = False
@@ -56,6 +66,11 @@ UNIT = re.compile(r"%[0-9A-Fa-f]{2}|\\x[0-9A-Fa-f]{2}|\\.|.", re.S)
 SHORT = dict(zip("abfnrtv0\\'\"", b"\x07\x08\x0c\n\r\t\x0b\x00\\'\"", strict=True))
 #: Where a compressed stream can begin.
 MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+#: Compressed bytes that are unpacked at a time.
+STEP = 1 << 10
+#: Characters that two blocks of a large layer share.
+OVERLAP = 1 << 16
+SPACE_RUN = re.compile("\x20{%d,}" % (OVERLAP // 4))
 #: UTF-16 text in bytes: eight characters or more of which one byte is zero.
 UTF16 = re.compile(rb"(?:[^\x00]\x00){8,}|(?:\x00[^\x00]){8,}")
 
@@ -67,7 +82,7 @@ RESULT = T.StructType(
         T.StructField("base_sha256", T.StringType()),
         T.StructField("spans", T.StringType()),
         T.StructField("n_layers", T.LongType()),
-        T.StructField("n_unopened", T.LongType()),
+        T.StructField("n_large", T.LongType()),
     ]
 )
 
@@ -151,57 +166,137 @@ def _unescape(layer: Layer) -> Layer | None:
     return _spliced(layer, pieces) if pieces else None
 
 
-def _bounded(read, limit: int) -> bytes | None:
-    data = read(limit + 1)
-    return data if len(data) <= limit else None
-
-
-def _zlib(data: bytes, limit: int) -> bytes | None:
-    out, rest = [], data
-    while rest:  # members may follow each other
-        d = zlib.decompressobj(47)
-        out.append(d.decompress(rest, limit + 1))
-        if sum(map(len, out)) > limit:
-            return None
-        if not d.eof:
-            raise ValueError("the stream is cut")
-        rest = d.unused_data if d.unused_data[:2] == b"\x1f\x8b" else b""
-    return b"".join(out)
-
-
-def decompress(data: bytes, limit: int) -> bytes | bool:
-    """The unpacked bytes; False if data isn't compressed; True if it unpacks to more than limit bytes."""
-    try:
-        if data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0):
-            out = _zlib(data, limit)
-        elif data[:3] == b"BZh":
-            out = _bounded(lambda n: bz2.BZ2Decompressor().decompress(data, n), limit)
-        elif data[:6] == b"\xfd7zXZ\x00":
-            out = _bounded(lambda n: lzma.LZMADecompressor().decompress(data, n), limit)
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            out = _bounded(zstandard.ZstdDecompressor().stream_reader(data).read, limit)
-        else:
-            return False
-    except (zlib.error, ValueError, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError):
-        return False
-    return True if out is None else out
-
-
-def _unpack(data: bytes, limit: int) -> tuple[bytes, bool, bool]:
-    """(innermost bytes, whether anything was unpacked, whether something too large stayed closed)."""
-    seen = set()
+def _zlib_step():
+    return zlib.decompressobj(47)
+
+
+def _lzma_step():
+    return lzma.LZMADecompressor(lzma.FORMAT_XZ)
+
+
+def _zstd_step():
+    return zstandard.ZstdDecompressor().decompressobj()
+
+
+def _kind(data: bytes) -> tuple[bytes, Callable] | None:
+    """The bytes with which a stream of this kind begins, and what makes its decompressor."""
+    if data[:3] == b"\x1f\x8b\x08":
+        return data[:2], _zlib_step
+    if data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
+        return data[:2], _zlib_step
+    if data[:3] == b"BZh":
+        return b"BZh", bz2.BZ2Decompressor
+    if data[:6] == b"\xfd7zXZ\x00":
+        return b"\xfd7zXZ\x00", _lzma_step
+    return (b"\x28\xb5\x2f\xfd", _zstd_step) if data[:4] == b"\x28\xb5\x2f\xfd" else None
+
+
+def inflate(chunks: Iterable[bytes], done: list[bool]) -> Iterator[bytes]:
+    """The bytes of streams of one kind that follow each other, as far as they can be unpacked; done gets whether they ended
+    well. Nothing if the first chunk, of 6 bytes at least, doesn't begin with a stream."""
+    kind = step = None
+    rest = b""  # of the chunk before, where it might be the head of another stream
+    for chunk in chunks:
+        data, at, rest = rest + chunk, 0, b""
+        kind = kind or _kind(data)
+        if kind is None:
+            return
+        while at < len(data):
+            if step is None:
+                while done and kind[0][0] == 0xFD and at < len(data) and data[at] == 0:  # padding between streams
+                    at += 1
+                if len(data) - at < len(kind[0]) and kind[0].startswith(data[at:]):
+                    rest = data[at:]
+                    break
+                if not data.startswith(kind[0], at):
+                    return
+                step = kind[1]()
+            piece = data[at : at + STEP]
+            at += len(piece)
+            try:
+                out = step.decompress(piece)
+            except (zlib.error, ValueError, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError):
+                done.append(False)
+                return
+            if out:
+                yield out
+            if step.eof:
+                at -= len(step.unused_data)
+                step = None
+                done.append(True)
+    if step is not None:
+        done.append(False)
+
+
+def decompress(data: bytes, limit: int) -> tuple[bytes, bool, bool] | None:
+    """(unpacked bytes, whether the stream ended well, whether there is more than limit bytes); None if nothing can be
+    unpacked."""
+    out, size, done = [], 0, []
+    for piece in inflate([data], done):
+        out.append(piece)
+        size += len(piece)
+        if size > limit:
+            return b"", True, True
+    return (b"".join(out), all(done), False) if size or (done and all(done)) else None
+
+
+class Unpacked(NamedTuple):
+    """The innermost bytes, whether they were compressed at all, whether all streams ended well; or blocks of a large layer."""
+
+    data: bytes
+    packed: bool
+    well: bool
+    blocks: Iterator[bytes] | None
+
+
+def _unpack(data: bytes, limit: int) -> Unpacked:
+    seen, well = set(), True
     while (digest := hashlib.sha256(data).digest()) not in seen:
         seen.add(digest)
-        inner = decompress(data, limit)
-        if isinstance(inner, bool):
-            return data, len(seen) > 1, inner
+        found = decompress(data, limit)
+        if found is None:
+            break
+        inner, ended, large = found
+        well = well and ended
+        if large:
+            return Unpacked(b"", True, well, _inner_blocks(data))
         data = inner
-    return data, True, False
+    return Unpacked(data, len(seen) > 1, well, None)
+
+
+def _inner_blocks(data: bytes) -> Iterator[bytes]:
+    """The bytes of a large stream, unpacked again while they begin with another stream."""
+    chunks: Iterator[bytes] = inflate([data], [])
+    while True:
+        head = b""
+        for piece in chunks:
+            head += piece
+            if len(head) >= 16:
+                break
+        chunks = itertools.chain([head], chunks)
+        if _kind(head) is None:
+            return chunks
+        chunks = inflate(chunks, [])
+
+
+def _blocks(layer: Layer, start: int, end: int, chunks: Iterator[bytes], size: int) -> Iterator[Layer]:
+    """Layers of a large stream, each size characters and OVERLAP more; their characters all come from [start, end)."""
+    held = ""
+    for piece in chunks:
+        held += piece.decode("latin-1")
+        if len(held) >= size:
+            held = SPACE_RUN.sub("\x20" * (OVERLAP // 4), held)
+        if len(held) >= size:
+            yield from _whole(layer, start, end, held.encode("latin-1"))
+            held = held[-OVERLAP:]
+    if held:
+        yield from _whole(layer, start, end, held.encode("latin-1"))
 
 
 def _whole(layer: Layer, start: int, end: int, data: bytes) -> list[Layer]:
     """Layers whose characters all come from [start, end)."""
-    return [Layer(t, np.full(len(t), layer.first[start]), np.full(len(t), layer.last[end - 1])) for t, _, _ in _texts(data)]
+    first, last = layer.first[start], layer.last[end - 1]
+    return [Layer(t, np.broadcast_to(first, len(t)), np.broadcast_to(last, len(t))) for t, _, _ in _texts(data)]
 
 
 def _texts(data: bytes) -> list[tuple[str, np.ndarray, np.ndarray]]:
@@ -220,51 +315,58 @@ def _texts(data: bytes) -> list[tuple[str, np.ndarray, np.ndarray]]:
     return out
 
 
-def _packed_within(layer: Layer, data: bytes, places: np.ndarray, end: int, limit: int) -> tuple[list[Layer], int]:
-    """Layers of compressed streams that begin anywhere in data; byte i was written from places[i] on, the last up to end."""
-    out, closed = [], 0
-    for m in MAGIC.finditer(data):
-        inner, packed, large = _unpack(data[m.start() :], limit)
-        closed += large
-        if packed:
-            out += _whole(layer, int(places[m.start()]), end, inner)
-    return out, closed
+Found = tuple[list[Layer], list[Iterator[Layer]]]
 
 
-def _unbase64(layer: Layer, limit: int) -> tuple[list[Layer], int]:
-    out, closed = [], 0
+def _opened(layer: Layer, start: int, end: int, data: bytes, limit: int, found: Found) -> bool:
+    """Adds the layers of a compressed stream at the head of data; whether there is one that ended well."""
+    inner = _unpack(data, limit)
+    if inner.blocks is not None:
+        found[1].append(_blocks(layer, start, end, inner.blocks, limit))
+    elif inner.packed:
+        found[0].extend(_whole(layer, start, end, inner.data))
+    return inner.packed and inner.well
+
+
+def _packed_within(layer: Layer, data: bytes, places: np.ndarray, end: int, limit: int, found: Found) -> None:
+    """Adds the layers of compressed streams that begin anywhere in data; byte i was written from places[i] on, the last up to
+    end."""
+    for m in MAGIC.finditer(data):
+        _opened(layer, int(places[m.start()]), end, data[m.start() :], limit, found)
+
+
+def _unbase64_run(layer: Layer, start: int, run: str, limit: int, found: Found) -> bool:
+    """Adds the layers of a run; whether the run as it stands is a compressed stream."""
+    every = [i for i, c in enumerate(run) if c not in "=\r\n"]
+    end = start + len(run)
+    for k in range(4):
+        places = every[k:]
+        raw = "".join(run[i] for i in places).encode().translate(URLSAFE)
+        raw = raw[: len(raw) - (len(raw) % 4 == 1)]
+        data = base64.b64decode(raw + b"=" * (-len(raw) % 4))
+        at = np.array(places, dtype=np.int64) + start
+        if k == 0 and _opened(layer, start, end, data, limit, found):
+            return True
+        for text, begin, stop in _texts(data):
+            first, last = at[begin // 3 * 4], at[np.minimum((stop - 1) // 3 * 4 + 3, len(at) - 1)]
+            found[0].append(Layer(text, layer.first[first], layer.last[last]))
+        tried = 1 if k == 0 else 0  # the head has been tried
+        _packed_within(layer, data[tried:], at[np.arange(len(data)) // 3 * 4][tried:], end, limit, found)
+    return False
+
+
+def _unbase64(layer: Layer, limit: int, found: Found) -> None:
+    opened = []
+    for m in WRAPPED.finditer(layer.text):
+        if _unbase64_run(layer, m.start(), m[0], limit, found):
+            opened.append(m.span())
     for m in BASE64.finditer(layer.text):
-        every = [i for i, c in enumerate(m[0]) if c not in "=\r\n"]
-        behind: dict[int, int] = {}  # the first character behind a separator for each alignment to it
-        for k in [0, *(k + 1 for k, i in enumerate(every) if m[0][i] in "/-_")]:
-            if len(every) - k >= 16:
-                behind.setdefault(k % 4, k)
-        for k in behind.values():
-            places = every[k:]
-            raw = "".join(m[0][i] for i in places).encode().translate(URLSAFE)
-            raw = raw[: len(raw) - (len(raw) % 4 == 1)]
-            try:
-                data = base64.b64decode(raw + b"=" * (-len(raw) % 4), validate=True)
-            except binascii.Error:
-                continue
-            at = np.array(places, dtype=np.int64) + m.start()
-            inner, packed, large = _unpack(data, limit)
-            closed += large
-            if packed:
-                out += _whole(layer, int(at[0]), m.end(), inner)
-            elif not large:
-                for text, begin, end in _texts(data):
-                    first, last = at[begin // 3 * 4], at[np.minimum((end - 1) // 3 * 4 + 3, len(at) - 1)]
-                    out.append(Layer(text, layer.first[first], layer.last[last]))
-                more, n = _packed_within(layer, data, at[np.arange(len(data)) // 3 * 4], m.end(), limit)
-                out += more
-                closed += n
-    return out, closed
-
-
-def _percent_packed(layer: Layer, limit: int) -> tuple[list[Layer], int]:
-    """Compressed bytes that are written as percent or \\x escapes, bare characters among them."""
-    out, closed = [], 0
+        if not any(a <= m.start() < b for a, b in opened):
+            _unbase64_run(layer, m.start(), m[0], limit, found)
+
+
+def _percent_packed(layer: Layer, limit: int, found: Found) -> None:
+    """Adds the layers of compressed bytes that are written as percent or \\x escapes, bare characters among them."""
     for pattern, sign in zip(PACKED, ("%", "\\x"), strict=True):
         if sign not in layer.text:
             continue
@@ -280,23 +382,26 @@ def _percent_packed(layer: Layer, limit: int) -> tuple[list[Layer], int]:
                 tried = [bytes(int(u[2:], 16) if len(u) == 4 else SHORT[u[1]] if len(u) == 2 else ord(u) for u in whole)]
             places = np.array([u.start() for u in units], dtype=np.int64) + m.start()
             for data in tried:
-                more, n = _packed_within(layer, data, places, m.end(), limit)
-                out += more
-                closed += n
-    return out, closed
+                _packed_within(layer, data, places, m.end(), limit, found)
 
 
 def unwrap(text: str, limit: int, long_run: bool = True) -> tuple[set[tuple[int, int, int]], int, int]:
-    """Mapped spans of all layers below the text, the number of layers, and of compressed ones that stayed closed."""
+    """Mapped spans of all layers below the text, the number of layers, and of those that were searched in blocks."""
     spans: set[tuple[int, int, int]] = set()
-    n_layers = n_closed = 0
+    n_layers = n_large = 0
     seen: set[tuple[bytes, int, int]] = set()
-    work: deque[Layer] = deque()
     if not (long_run and BASE64.search(text) or "%" in text or "\\" in text or "&#" in text):
         return spans, 0, 0
     place = np.arange(len(text), dtype=np.int64)
-    work.append(Layer(text, place, place + 1))
-    while work:
+    work: deque[Layer] = deque([Layer(text, place, place + 1)])
+    large: deque[Iterator[Layer]] = deque()
+    while work or large:
+        if not work:
+            block = next(large[0], None)
+            if block is None:
+                large.popleft()
+                continue
+            work.append(block)
         layer = work.popleft()
         if not layer.text:
             continue
@@ -308,10 +413,13 @@ def unwrap(text: str, limit: int, long_run: bool = True) -> tuple[set[tuple[int,
             n_layers += 1
             spans.update((int(layer.first[a]), kind, int(layer.last[b - 1])) for a, kind, b in find(layer.text))
         work.extend(x for x in (_unpercent(layer), _unescape(layer)) if x)
-        for inner, closed in (_unbase64(layer, limit), _percent_packed(layer, limit)):
-            work.extend(inner)
-            n_closed += closed
-    return spans, n_layers, n_closed
+        found: Found = ([], [])
+        _unbase64(layer, limit, found)
+        _percent_packed(layer, limit, found)
+        work.extend(found[0])
+        large.extend(found[1])
+        n_large += len(found[1])
+    return spans, n_layers, n_large
 
 
 def scan(text: str | None, limit: int) -> dict:
@@ -321,20 +429,20 @@ def scan(text: str | None, limit: int) -> dict:
     count = [0, 0, 0]
     for _, kind, _ in base:
         count[kind] += 1
-    spans, n_layers, n_closed = unwrap(text, limit, long_run)
+    spans, n_layers, n_large = unwrap(text, limit, long_run)
     line = written(base)
     return {
         "n_assign": count[0], "n_access": count[1], "n_hex": count[2], "base_sha256": hashlib.sha256(line.encode()).hexdigest(),
-        "spans": written(list(spans.union(base))) if spans else line, "n_layers": n_layers, "n_unopened": n_closed,
+        "spans": written(list(spans.union(base))) if spans else line, "n_layers": n_layers, "n_large": n_large,
     }
 
 
-def scan_secrets(docs: DataFrame, text: str = "text", max_layer_bytes: int = 1 << 26) -> DataFrame:
+def scan_secrets(docs: DataFrame, text: str = "text", block_bytes: int = 1 << 22) -> DataFrame:
     """docs with the columns of RESULT; one pass without a shuffle, memory bounded by a batch of rows."""
 
     @F.arrow_udf(RESULT)
     def scanned(texts: pa.Array) -> pa.Array:
-        return pa.array([scan(t.as_py(), max_layer_bytes) for t in texts], _ARROW)
+        return pa.array([scan(t.as_py(), block_bytes) for t in texts], _ARROW)
 
     rest = without(docs.columns, RESULT.names)
     return docs.select(*boxed(rest), scanned(F.col(text)).alias("_secrets")).select(*unboxed(rest), "_secrets.*")
