@@ -7,8 +7,9 @@ import contextlib
 import string
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,6 +91,11 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_slices(made: Callable[..., pa.Array], *columns: pa.Array, rows: int = 1000) -> pa.Array:
+    """What made() gives for the columns, so many rows at a time, so that few are Python objects at once."""
+    return pa.concat_arrays([made(*(c.slice(k, rows) for c in columns)) for k in range(0, max(len(columns[0]), 1), rows)])
+
+
 def table_bytes(table: DataFrame) -> int:
     """The planner's estimate of a table's size: of one from materialize(), its files' size."""
     return int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

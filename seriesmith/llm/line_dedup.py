@@ -14,7 +14,8 @@ so its fingerprint at the same place of the run: no such run is missed.
    from the first at the same place by the same line. So on each side where the context goes on such positions form a new
    group, of those that share the run of lines up to that one, and 2. is repeated for these groups until none has two
    positions. A group's run is a line longer than that of the group it comes from, and is given up when no window holds it,
-   so rounds end with the longest window. No pairs are formed: a group of n positions gives n matches.
+   so rounds end with the longest window. No pairs are formed: a group of n positions gives n matches. A group of at most
+   GROUP positions goes through all its rounds in one task; only larger ones take a round of joins each.
 4. The lines of all matches are deleted. A repeated run is covered by its windows, so it goes as a whole, while its first
    occurrence stays.
 
@@ -30,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import deque
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -38,9 +40,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesmith.llm.common import boxed, join_small, materialize, without
+from seriesmith.llm.common import boxed, in_slices, join_small, materialize, without
 
 MIN_WORDS = 50
+#: Positions of a group that one task may hold.
+GROUP = 4096
 #: Bytes of a line's hash.
 HASH = 16
 _INTS, _PA_INTS = T.ArrayType(T.IntegerType()), pa.list_(pa.int32())
@@ -99,8 +103,7 @@ def winnow(hashes: list[bytes], words: list[int], min_words: int) -> dict[int, t
 
 
 def _lines_udf(min_words: int):
-    @F.arrow_udf(LINES)
-    def split_lines(texts: pa.Array) -> pa.Array:
+    def split(texts: pa.Array) -> pa.Array:
         rows = []
         for t in texts:
             at, words, hashes = lines_of(t.as_py())
@@ -109,6 +112,10 @@ def _lines_udf(min_words: int):
         kinds = (_PA_INTS, _PA_INTS, pa.binary(), _PA_INTS, _PA_INTS, _PA_INTS)
         return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=LINES.names)
 
+    @F.arrow_udf(LINES)
+    def split_lines(texts: pa.Array) -> pa.Array:
+        return in_slices(split, texts)
+
     return split_lines
 
 
@@ -153,9 +160,53 @@ def _match_udf(min_words: int):
     return match_first
 
 
-@F.arrow_udf(T.StringType())
-def without_lines(texts: pa.Array, at: pa.Array, runs: pa.Array) -> pa.Array:
-    """The texts without the lines in runs of places, which are numbers of lines in at."""
+Position = tuple[bytes, int, list[int], int, int]
+
+
+def all_rounds(group: list[Position], before: int, behind: int, min_words: int) -> Iterator[tuple[int, int, int]]:
+    """(row, first, last) of the runs that occurred earlier, of a group's positions (context, at, words, row, place) in order."""
+    work, done = [(group, before, behind)], set()
+    while work:
+        members, a, b = work.pop()
+        first, first_at = members[0][:2]
+        following: dict[tuple[bytes, int, int], list[Position]] = {}
+        for k, (context, at, words, row, place) in enumerate(members):
+            left, right = extend(context, at, first, first_at)
+            if k and sum(words[at - left : at + right + 1]) >= min_words:
+                yield row, place - left, place + right
+            for name in further(context, at, words, a, b, left, right, min_words):
+                following.setdefault(name, []).append(members[k])
+        for name, some in following.items():
+            if len(some) > 1 and name not in done:  # two ways can lead to a group
+                done.add(name)
+                work.append((some, *name[1:]))
+
+
+def _rounds(min_words: int):
+    """Positions in the order of group and order as (_row, first, last)."""
+
+    def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, shared = None, [], (0, 0)
+        for batch in batches:
+            runs = []
+            for g, *position, a, b in zip(*(batch.column(c).to_pylist() for c in ("group", "context", "at", "words", "_row", "place", "before", "behind")), strict=True):
+                if g != group:
+                    if len(held) > 1:
+                        runs += all_rounds(held, *shared, min_words)
+                    group, held, shared = g, [], (a, b)
+                held.append(tuple(position))
+            yield made(runs)
+        if len(held) > 1:
+            yield made(list(all_rounds(held, *shared, min_words)))
+
+    def made(runs: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        columns = list(zip(*runs, strict=True)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["_row", "first", "last"])
+
+    return solved
+
+
+def _without_lines(texts: pa.Array, at: pa.Array, runs: pa.Array) -> pa.Array:
     out = []
     for text, places, gone in zip(texts.to_pylist(), at.to_pylist(), runs.to_pylist(), strict=True):
         if text is not None and gone:
@@ -165,19 +216,25 @@ def without_lines(texts: pa.Array, at: pa.Array, runs: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-def _recurring(positions: DataFrame, of: str) -> DataFrame:
-    """The groups (column of) with two positions or more."""
-    counted = positions.groupBy(of).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return materialize(counted.select(F.col(of).alias("_group")), "groups")
+@F.arrow_udf(T.StringType())
+def without_lines(texts: pa.Array, at: pa.Array, runs: pa.Array) -> pa.Array:
+    """The texts without the lines in runs of places, which are numbers of lines in at."""
+    return in_slices(_without_lines, texts, at, runs)
+
+
+def _recurring(positions: DataFrame) -> DataFrame:
+    """The groups with two positions or more, and how many they have."""
+    counted = positions.groupBy(F.col("group").alias("_group")).agg(F.count(F.lit(1)).alias("n"))
+    return materialize(counted.filter("n > 1"), "groups")
 
 
 def _positions(lined: DataFrame) -> DataFrame:
     """Positions of fingerprints that recur: group, _row, order, place, context, at (the place in it), words,
-    and before and behind: the lines that the group shares around it."""
+    before and behind (the lines that the group shares around it), n (the group's positions)."""
     hashes, ends = F.col("_lines.hashes"), F.arrays_zip("_lines.place", "_lines.low", "_lines.high")
     of = F.substring(hashes, F.col("p.place") * HASH + 1, F.lit(HASH))
     prints = lined.select("_row", "_lines", F.explode(ends).alias("p")).select("_row", of.alias("group"), "p")
-    hits = prints.join(_recurring(prints, "group"), F.col("group") == F.col("_group"))
+    hits = prints.join(_recurring(prints).hint("merge"), F.col("group") == F.col("_group")).select("_row", F.struct("p.*", "n").alias("p"))
     hits = materialize(hits.groupBy(F.col("_row").alias("_of")).agg(F.collect_list("p").alias("prints")), "hits")  # fewer than the document's lines
     held = join_small(lined.select("_row", "_id", "_lines"), hits, F.col("_row") == F.col("_of"))
     held = held.select("_row", "_id", "_lines", F.explode("prints").alias("p"))
@@ -186,29 +243,30 @@ def _positions(lined: DataFrame) -> DataFrame:
         of.alias("group"), "_row", F.col("p.place").alias("place"),
         F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"), F.col("p.place").alias("place")).alias("order"),
         F.substring(hashes, F.col("p.low") * HASH + 1, size * HASH).alias("context"), (F.col("p.place") - F.col("p.low")).alias("at"),
-        F.slice(F.col("_lines.words"), F.col("p.low") + 1, size).alias("words"), F.lit(0).alias("before"), F.lit(0).alias("behind"),
+        F.slice(F.col("_lines.words"), F.col("p.low") + 1, size).alias("words"), F.lit(0).alias("before"), F.lit(0).alias("behind"), F.col("p.n").alias("n"),
     )
 
 
 def repeated_runs(lined: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """_row, runs: array of (first, last) places that occurred earlier. lined: _row, _id and _lines of each document."""
     positions = materialize(_positions(lined), "positions")
-    match_first, runs = _match_udf(min_words), []
+    match_first, solved, runs = _match_udf(min_words), _rounds(min_words), []
     while True:
-        lead = F.min_by(F.struct("context", "at", "order"), "order").alias("lead")
-        firsts = materialize(positions.groupBy(F.col("group").alias("_of")).agg(lead), "firsts")
-        if firsts.isEmpty():
+        small = positions.filter(F.col("n") <= GROUP).repartition("group").sortWithinPartitions("group", "order")
+        runs.append(materialize(small.mapInArrow(solved, "_row long, first int, last int"), "runs"))
+        large = positions.filter(F.col("n") > GROUP)
+        if large.isEmpty():
             break
-        met = positions.join(firsts.hint("merge"), F.col("group") == F.col("_of"))
+        lead = F.min_by(F.struct("context", "at", "order"), "order").alias("lead")
+        firsts = materialize(large.groupBy(F.col("group").alias("_of")).agg(lead), "firsts")
+        met = large.join(firsts.hint("merge"), F.col("group") == F.col("_of"))
         met = met.withColumn("m", match_first("context", "at", "words", "before", "behind", "lead.context", "lead.at"))
         met = met.withColumn("again", (F.col("order") != F.col("lead.order")) & (F.col("m.words") >= min_words))
-        matched = materialize(met.filter("again OR size(m.more) > 0").drop("group", "before", "behind", "lead", "_of"), "matched")
+        matched = materialize(met.filter("again OR size(m.more) > 0").drop("group", "before", "behind", "n", "lead", "_of"), "matched")
         runs.append(matched.filter("again").select("_row", (F.col("place") - F.col("m.left")).alias("first"), (F.col("place") + F.col("m.right")).alias("last")))
         rest = matched.select(F.explode("m.more").alias("g"), "_row", "place", "order", "context", "at", "words").select("g.*", "_row", "place", "order", "context", "at", "words")
-        rest = rest.join(_recurring(rest, "group").hint("merge"), F.col("group") == F.col("_group")).drop("_group")
+        rest = rest.join(_recurring(rest.select("group")).hint("merge"), F.col("group") == F.col("_group")).drop("_group")
         positions = materialize(rest.dropDuplicates(["group", "_row", "place"]), "positions")  # two ways can lead to a group
-    if not runs:
-        return positions.select("_row", F.array(F.struct(F.lit(0).alias("first"), F.lit(0).alias("last"))).alias("runs"))
     return reduce(DataFrame.union, runs).groupBy("_row").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
 
 

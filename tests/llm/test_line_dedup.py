@@ -48,8 +48,10 @@ def rows_of(seed, n=30):
     return out
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_brute_force(table, seed):
+@pytest.mark.parametrize(("seed", "group"), [(0, L.GROUP), (1, L.GROUP), (2, 1), (3, 4)])
+def test_brute_force(table, monkeypatch, seed, group):
+    """With small groups all rounds, or some, are joins."""
+    monkeypatch.setattr(L, "GROUP", group)
     rows = rows_of(seed)
     rows[3] = (3, None)
     rows[5] = (None, rows[4][1])
@@ -85,9 +87,10 @@ def test_matches_are_extended_both_ways():
     assert L.extend(a, 6, a, 0) == (0, 0) and L.extend(a, 0, b, 5) == (0, 0)
 
 
-@pytest.mark.parametrize("least", [10, 16])
-def test_partners_other_than_the_first(table, least):
+@pytest.mark.parametrize(("least", "group"), [(10, L.GROUP), (16, L.GROUP), (10, 20)])
+def test_partners_other_than_the_first(table, monkeypatch, least, group):
     """Documents that share a line with all others, but longer runs around it with some only."""
+    monkeypatch.setattr(L, "GROUP", group)
     rng = random.Random(least)
     line = lambda k: f"l{k} " + "w " * (k % 4)
     rows = []
@@ -102,6 +105,7 @@ def test_partners_other_than_the_first(table, least):
 def test_extension_is_needed(table, monkeypatch):
     rows = rows_of(1)
     docs = table(rows, "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(L, "GROUP", 1)  # else tasks import their own
     monkeypatch.setattr(L, "extend", lambda *_: (0, 0))
     assert [r["text"] for r in L.clean(docs, min_words=10).orderBy("doc_id").collect()] != brute(rows, 10)
 
