@@ -38,8 +38,13 @@ def is_decomposable(n: Column) -> Column:
 
 
 def to_fixed(x: Column, precision: int) -> Column:
-    """x in units of 10**-precision, cut to a whole number; precision is 6 at most."""
-    return F.floor(x * F.lit(float(10 ** min(precision, 6)))).cast("long")
+    """x in units of 10**-precision, cut towards zero to a whole number; negative and missing numbers give 0, and those too
+    large the largest long. precision is 6 at most."""
+    if not 0 <= precision <= 6:
+        raise ValueError("precision is from 0 to 6")
+    scaled = x * F.lit(float(10**precision))
+    most = (1 << 63) - 1
+    return F.when(scaled >= float(most), most).when((scaled > 0) & ~F.isnan(scaled), F.floor(scaled).cast("long")).otherwise(0).cast("long")
 
 
 def round_half_away(x: Column, decimals: int) -> Column:

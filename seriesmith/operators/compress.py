@@ -14,6 +14,8 @@ from seriesmith.operators import frame_codecs
 from seriesmith.operators.series import SAMPLE_LEVELS, clean, with_frames, with_positions
 
 DEFAULT_ERROR = 3.0
+#: Positions that one task ranks.
+RANKED = 1 << 20
 FRAMES = "series_id string, frame_no long, frame_start long, sample_count long, codec string, error double, payload binary"
 _ARROW = pa.schema(
     [
@@ -37,6 +39,9 @@ def bound_of(error: float) -> float:
 def compress(df: DataFrame, order: list[str] | None = None, codec: str = "auto", error: float = DEFAULT_ERROR, level: int = 0, bucket: Column | None = None) -> DataFrame:
     """FRAMES of the series in df (series_id, value, and pos or the columns of ``order``).
 
+    Samples without a finite value are left out, and positions count the others; timeindex.build_index() with the value's
+    column counts the same samples. Without an order, positions are ranked in stretches of RANKED.
+
     error: the bound in per cent, 0 to 50; level: 0, or 1 to 6 to choose codecs by ever fewer samples. One task has one
     frame of 131072 samples at most in memory.
     """
@@ -46,7 +51,9 @@ def compress(df: DataFrame, order: list[str] | None = None, codec: str = "auto",
         raise ValueError("error is from 0 to 50, level from 0 to 6")
     bound, sample = bound_of(error), SAMPLE_LEVELS[level]
     finite = clean(df.withColumn("series_id", F.col("series_id").cast("string")).withColumn("value", F.col("value").cast("double")))
-    placed = with_positions(finite, order, bucket=bucket) if order else with_positions(finite, ["pos"], bucket=bucket)
+    if not order and bucket is None:
+        bucket = F.floor(F.col("pos") / RANKED)
+    placed = with_positions(finite, order or ["pos"], bucket=bucket)
     framed = with_frames(placed).select("series_id", "frame_no", "frame_start", "pos", "value")
 
     def encoded(group: pa.Table) -> pa.Table:

@@ -28,26 +28,39 @@ _SMOOTH = np.array(smooth_sizes())
 # numbers
 
 
-def put_unsigned(values: np.ndarray) -> bytes:
-    """Each number as one byte below 251, else a marker and two, four or eight bytes."""
-    v = np.asarray(values, np.uint64)
-    width = np.select([v < 251, v < 1 << 16, v < 1 << 32], [1, 3, 5], 9)
+def put_mixed(values: np.ndarray, raw: np.ndarray) -> bytes:
+    """Each number as so many raw bytes, little end first, where raw isn't 0; else as one byte below 251, or a marker and two,
+    four or eight bytes."""
+    v, raw = np.asarray(values, np.uint64), np.asarray(raw, np.int64)
+    width = np.where(raw > 0, raw, np.select([v < 251, v < 1 << 16, v < 1 << 32], [1, 3, 5], 9))
     ends = np.cumsum(width)
     out = np.zeros(int(ends[-1]) if len(v) else 0, np.uint8)
     at = ends - width
-    out[at[width == 1]] = v[width == 1]
+    single = (raw == 1) | ((raw == 0) & (width == 1))
+    out[at[single]] = v[single]
     for marker, size in ((251, 2), (252, 4), (253, 8)):
-        here = width == size + 1
-        out[at[here]] = marker
-        raw = v[here].astype("<u8").view(np.uint8).reshape(-1, 8)
-        for k in range(size):
-            out[at[here] + 1 + k] = raw[:, k]
+        for here, first in (((raw == 0) & (width == size + 1), 1), (raw == size, 0)):
+            if first:
+                out[at[here]] = marker
+            octets = v[here].astype("<u8").view(np.uint8).reshape(-1, 8)
+            for k in range(size):
+                out[at[here] + first + k] = octets[:, k]
     return out.tobytes()
 
 
-def put_signed(values: np.ndarray) -> bytes:
+def put_unsigned(values: np.ndarray) -> bytes:
+    """Each number as one byte below 251, else a marker and two, four or eight bytes."""
+    v = np.asarray(values, np.uint64)
+    return put_mixed(v, np.zeros(len(v), np.int64))
+
+
+def zigzag(values: np.ndarray) -> np.ndarray:
     v = np.asarray(values, np.int64)
-    return put_unsigned(((v << 1) ^ (v >> 63)).view(np.uint64))
+    return ((v << 1) ^ (v >> 63)).view(np.uint64)
+
+
+def put_signed(values: np.ndarray) -> bytes:
+    return put_unsigned(zigzag(values))
 
 
 @dataclass
@@ -71,9 +84,37 @@ class Reader:
             return first
         return self.take({251: "<H", 252: "<I", 253: "<Q"}[first])[0]
 
-    def signed(self) -> int:
-        u = self.unsigned()
-        return (u >> 1) ^ -(u & 1)
+    def many(self, n: int) -> np.ndarray:
+        """The next n unsigned numbers."""
+        data, at, out = self.data, self.at, []
+        try:
+            for _ in range(n):
+                first = data[at]
+                if first < 251:
+                    out.append(first)
+                    at += 1
+                    continue
+                size = 1 << (first - 250)
+                if at + 1 + size > len(data) or size > 8:
+                    raise IndexError
+                out.append(int.from_bytes(data[at + 1 : at + 1 + size], "little"))
+                at += 1 + size
+        except IndexError:
+            raise ValueError("the stored bytes end early") from None
+        self.at = at
+        return np.array(out, np.uint64)
+
+    def signed(self, n: int) -> np.ndarray:
+        u = self.many(n)
+        return (u >> np.uint64(1)).view(np.int64) ^ -(u & np.uint64(1)).view(np.int64)
+
+    def raw(self, n: int, dtype: str) -> np.ndarray:
+        size = n * np.dtype(dtype).itemsize
+        if self.at + size > len(self.data):
+            raise ValueError("the stored bytes end early")
+        out = np.frombuffer(self.data, dtype, n, self.at)
+        self.at += size
+        return out
 
 
 def depth_of(x: np.ndarray) -> str:
@@ -92,10 +133,10 @@ def put_values(x: np.ndarray, depth: str) -> bytes:
     return x.astype("<f8").tobytes() if depth == "F64" else put_signed(x.astype(np.int64))
 
 
-def take_values(r: Reader, n: int, depth: str) -> list[float]:
+def take_values(r: Reader, n: int, depth: str) -> np.ndarray:
     if depth == "U8":
-        return [float(b) for b in r.take(f"<{n}B")]
-    return list(r.take(f"<{n}d")) if depth == "F64" else [float(r.signed()) for _ in range(n)]
+        return r.raw(n, "u1").astype(float)
+    return r.raw(n, "<f8") if depth == "F64" else r.signed(n).astype(float)
 
 
 def round_half_away(x: np.ndarray, decimals: int = DECIMALS) -> np.ndarray:
@@ -118,7 +159,7 @@ def noop_encode(x: np.ndarray) -> bytes:
 
 def noop_decode(payload: bytes, n: int) -> np.ndarray:
     r = Reader(payload, 1)
-    return np.array([float(r.signed()) for _ in range(r.unsigned())])
+    return r.signed(r.unsigned()).astype(float)
 
 
 def constant_encode(x: np.ndarray) -> bytes:
@@ -137,28 +178,36 @@ def constant_decode(payload: bytes, n: int) -> np.ndarray:
 
 
 def rle_encode(x: np.ndarray) -> bytes:
+    """For each value, in the order of its bits: the value, its number of runs, and their starts."""
     depth = depth_of(x)
     starts = np.concatenate(([0], np.flatnonzero(x[1:] != x[:-1]) + 1))
     bits = x[starts].view(np.uint64)
     order = np.argsort(bits, kind="stable")
-    values, first = np.unique(bits[order], return_index=True)
-    groups = np.split(starts[order], first[1:])
-    out = [bytes([TAGS["rle"], DEPTHS[depth]]), put_unsigned(np.array([len(values)]))]
-    for v, g in zip(values.view(np.float64), groups, strict=True):
-        out += [put_values(np.array([v]), depth), put_unsigned(np.array([len(g)])), put_unsigned(g)]
-    return b"".join(out)
+    values, first, count = np.unique(bits[order], return_index=True, return_counts=True)
+    head = first + 2 * np.arange(len(values))  # of each value's numbers among all
+    numbers = np.empty(len(starts) + 2 * len(values), np.uint64)
+    raw = np.zeros(len(numbers), np.int64)
+    as_float = values.view(np.float64)
+    numbers[head] = values if depth == "F64" else as_float.astype(np.uint64) if depth == "U8" else zigzag(as_float.astype(np.int64))
+    raw[head] = {"F64": 8, "U8": 1}.get(depth, 0)
+    numbers[head + 1] = count
+    rest = np.ones(len(numbers), bool)
+    rest[head] = rest[head + 1] = False
+    numbers[rest] = starts[order]
+    return bytes([TAGS["rle"], DEPTHS[depth]]) + put_unsigned(np.array([len(values)])) + put_mixed(numbers, raw)
 
 
 def rle_decode(payload: bytes, n: int) -> np.ndarray:
     r = Reader(payload, 1)
     depth = _depth(r)
-    runs = []
+    values, starts = [], []
     for _ in range(r.unsigned()):
-        (value,) = take_values(r, 1, depth)
-        runs += [(r.unsigned(), value) for _ in range(r.unsigned())]
-    runs.sort(key=lambda run: run[0])
-    starts = np.array([s for s, _ in runs] + [n])
-    return np.repeat([v for _, v in runs], np.diff(starts))
+        values.append(take_values(r, 1, depth)[0])
+        starts.append(r.many(r.unsigned()).astype(np.int64))
+    each = np.repeat(values, [len(s) for s in starts])
+    at = np.concatenate(starts)
+    order = np.argsort(at)
+    return np.repeat(each[order], np.diff(np.append(at[order], n)))
 
 
 def key_positions(n: int, step: int) -> np.ndarray:
@@ -303,10 +352,8 @@ def fft_encode(x: np.ndarray, bound: float | None = None, points: int | None = N
         error = mape(y, _synthesis(spectrum, kept, n, low, high))
         if bound is None or np.isnan(error) or int(bound * 1000) >= int(min(error, 1e6) * 1000):
             break
-    parts = [bytes([TAGS["fft"]]), put_unsigned(np.array([len(kept)]))]
-    for p in kept.tolist():
-        parts.append(put_unsigned(np.array([p])) + struct.pack("<ff", spectrum[p].real, spectrum[p].imag))
-    return b"".join(parts) + tail, error
+    numbers = np.stack([kept.astype(np.uint64), spectrum[kept].astype("<c8").view("<u8")], axis=1).ravel()
+    return bytes([TAGS["fft"]]) + put_unsigned(np.array([len(kept)])) + put_mixed(numbers, np.tile([0, 8], len(kept))) + tail, error
 
 
 def fft_decode(payload: bytes, n: int) -> np.ndarray:

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriesmith.operators.series import clean
+
 SEGMENT = "array<struct<m:bigint,x0:bigint,y0:bigint,n:bigint>>"
 SEGMENTS = "series_id string, seg_no long, m long, x0 long, y0 long, n long"
 
@@ -40,8 +42,11 @@ def fold(times: Iterable[int]) -> Iterator[tuple[int, int, int, int]]:
     return resume(None, times)
 
 
-def build_index(points: DataFrame, key: str = "series_id", ts: str = "ts") -> DataFrame:
-    """SEGMENTS of each series of points (key, ts: seconds), which are streamed in order; a task holds one batch."""
+def build_index(points: DataFrame, key: str = "series_id", ts: str = "ts", value: str | None = None) -> DataFrame:
+    """SEGMENTS of each series of points (key, ts: seconds), which are streamed in order; a task holds one batch. With the
+    column of values, only points with a finite one count, as in compress(), so that its samples keep their times."""
+    if value:
+        points = clean(points, value)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current: str | None = None
@@ -156,30 +161,29 @@ def _as_of(probes: DataFrame, segments: DataFrame, forward: bool) -> DataFrame:
 
     Probes and segments are merged in the order of time, so it takes one shuffle by series and no pairs.
     """
-    probes = probes.withColumn("_id", F.monotonically_increasing_id())
-    p = probes.select("series_id", F.col("y").alias("_t"), "_id", F.lit(None).cast("long").alias("_x"))
+    p = probes.select("series_id", F.col("y").alias("_t"), F.lit(True).alias("_probe"), F.lit(None).cast("long").alias("_x"))
     at, x = (F.col("y0"), F.col("x0")) if forward else (end_of(), F.col("x0") + F.col("n") - 1)
-    s = segments.select("series_id", at.alias("_t"), F.lit(None).cast("long").alias("_id"), x.alias("_x"))
+    s = segments.select("series_id", at.alias("_t"), F.lit(False).alias("_probe"), x.alias("_x"))
     merged = p.unionByName(s)
     # frames that grow from the first row on are kept up, while those that reach to the last are computed anew for each row
     w = Window.partitionBy("series_id").orderBy(F.col("_t").desc() if forward else F.col("_t")).rangeBetween(Window.unboundedPreceding, 0)
     found = (F.min("_x") if forward else F.max("_x")).over(w)
-    return merged.withColumn("found", found).filter("_id IS NOT NULL").select("series_id", F.col("_t").alias("y"), "found")
+    return merged.withColumn("found", found).filter("_probe").select("series_id", F.col("_t").alias("y"), "found")
 
 
-def this_or_next(probes: DataFrame, segments: DataFrame) -> DataFrame:
+def this_or_next(probes: DataFrame, segments: DataFrame, span: int | None = None) -> DataFrame:
     """probes (series_id, y), once each, with x: that of the second, else the first sample after it."""
     probes = probes.select("series_id", "y").distinct()
     after = _as_of(probes, segments, True)
-    return sample_at(probes, segments).join(after, ["series_id", "y"]).select("series_id", "y", F.coalesce("x", "found").alias("x"))
+    return sample_at(probes, segments, span).join(after, ["series_id", "y"]).select("series_id", "y", F.coalesce("x", "found").alias("x"))
 
 
-def this_or_previous(probes: DataFrame, segments: DataFrame) -> DataFrame:
+def this_or_previous(probes: DataFrame, segments: DataFrame, span: int | None = None) -> DataFrame:
     """probes, once each, with x: that of the second, else the last sample before it; at or after the end the number of
     samples."""
     probes = probes.select("series_id", "y").distinct()
     before = _as_of(probes, segments, False)
-    found = sample_at(probes, segments).join(before, ["series_id", "y"]).join(bounds(segments), "series_id", "left")
+    found = sample_at(probes, segments, span).join(before, ["series_id", "y"]).join(bounds(segments), "series_id", "left")
     inside = F.coalesce("x", "found")
     return found.select("series_id", "y", F.when((F.col("y") >= F.col("max_ts")) & F.col("x").isNull(), F.col("samples")).otherwise(inside).alias("x"))
 
@@ -197,16 +201,19 @@ def gaps(segments: DataFrame) -> DataFrame:
     return ended.filter("before > after + 1")
 
 
-def is_empty(ranges: DataFrame, segments: DataFrame) -> DataFrame:
-    """ranges (series_id, a, b) with is_empty: whether [a, b] touches no segment; ends of segments belong to them."""
+def is_empty(ranges: DataFrame, segments: DataFrame, span: int = 86400) -> DataFrame:
+    """ranges (series_id, a, b), once each, with is_empty: whether [a, b] touches no segment; ends of segments belong to them,
+    and so do both ends of the range. Ranges and segments are dealt to the cells of span seconds that they touch, which makes
+    it one equi-join."""
+    cells = lambda low, high: F.explode(F.sequence(F.floor(low / span), F.floor(high / span)))
     s = segments.select(F.col("series_id").alias("_series"), F.col("y0").alias("_low"), end_of().alias("_high"))
-    ranges = ranges.withColumn("_id", F.monotonically_increasing_id())
-    touch = (F.col("series_id") == F.col("_series")) & (F.col("a") <= F.col("_high")) & (F.col("b") >= F.col("_low"))
-    hit = ranges.join(s, touch, "left_semi").withColumn("is_empty", F.lit(False))
-    return hit.unionByName(ranges.join(s, touch, "left_anti").withColumn("is_empty", F.lit(True))).drop("_id")
+    s = s.withColumn("_cell", cells(F.col("_low"), F.col("_high")))
+    r = ranges.select("series_id", "a", "b").distinct().withColumn("_at", cells(F.col("a"), F.col("b")))
+    touch = (F.col("series_id") == F.col("_series")) & (F.col("_at") == F.col("_cell")) & (F.col("a") <= F.col("_high")) & (F.col("b") >= F.col("_low"))
+    return r.join(s, touch, "left").groupBy("series_id", "a", "b").agg((F.count("_series") == 0).alias("is_empty"))
 
 
-def with_times(samples: DataFrame, segments: DataFrame) -> DataFrame:
-    """samples (series_id, pos, value) with ts, from the index."""
-    timed = time_at(samples.withColumnRenamed("pos", "x"), segments)
+def with_times(samples: DataFrame, segments: DataFrame, span: int = 1 << 16) -> DataFrame:
+    """samples (series_id, pos, value) with ts, from the index of the samples that were kept: build_index() with value."""
+    timed = time_at(samples.withColumnRenamed("pos", "x"), segments, span)
     return timed.withColumnsRenamed({"x": "pos", "y": "ts"})

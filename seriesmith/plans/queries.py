@@ -77,6 +77,21 @@ s4 AS (SELECT series_id, pos, value, CASE WHEN pos < done THEN pos // 131072 ELS
 {name} AS (SELECT *, (count(*) OVER (PARTITION BY series_id, frame_no))::BIGINT AS frame_len, (pos - frame_start)::BIGINT AS x FROM s4)"""
 
 
+def blocked(rows: DataFrame, size: int) -> DataFrame:
+    """All samples in frames of so many, the last of a series being shorter, with the columns of with_frames()."""
+    lengths = rows.groupBy(F.col("series_id").alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    start = F.col("pos") - F.col("pos") % size
+    made = {"frame_no": F.floor(F.col("pos") / size).cast("long"), "frame_start": start, "frame_len": F.least(F.lit(size).cast("long"), F.col("_n") - start), "pos_in_frame": F.col("pos") % size}
+    return rows.join(lengths, F.col("series_id").eqNullSafe(F.col("_key"))).withColumns(made).drop("_key", "_n")
+
+
+def _blocked_sql(source: str, size: int) -> str:
+    """f with the columns of _frames_sql()."""
+    return f"""
+s AS ({source}), f AS (SELECT series_id, pos, value, (pos // {size})::BIGINT AS frame_no, (pos // {size} * {size})::BIGINT AS frame_start,
+  least({size}, n - pos // {size} * {size})::BIGINT AS frame_len, (pos % {size})::BIGINT AS x FROM s)"""
+
+
 _BITS = """CASE WHEN bool_or(value <> floor(value)) THEN 'F64' WHEN min(value) >= 0 AND max(value) <= 255 THEN 'U8'
   WHEN min(value) >= -32768 AND max(value) <= 32767 THEN 'I16' WHEN min(value) >= -2147483648 AND max(value) <= 2147483647 THEN 'I32' ELSE 'F64' END"""
 
@@ -289,25 +304,27 @@ def poly_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolation.frame_errors(decoded).withColumn("error", rounded("error"))
 
 
-_IDW = f"""{_STEPPED}, u AS (SELECT * FROM t WHERE frame_len <= 512), k AS (SELECT series_id, frame_no, x AS kx, value AS kv FROM u WHERE x % step = 0 OR x = frame_len - 1),
+_IDW = f"""{_STEPPED}, u AS (SELECT * FROM t), k AS (SELECT series_id, frame_no, x AS kx, value AS kv FROM u WHERE x % step = 0 OR x = frame_len - 1),
 w AS (SELECT series_id, frame_no, x, value, kv, (x - kx)::DOUBLE * (x - kx) AS d FROM u JOIN k USING (series_id, frame_no)),
 m AS (SELECT series_id, frame_no, x, value, coalesce(max(kv) FILTER (d = 0), sum(kv / d) FILTER (d > 0) / sum(1 / d) FILTER (d > 0)) AS raw FROM w GROUP BY 1, 2, 3, 4),
 y AS (SELECT *, least(greatest({_round("raw", 5)}, min(value) OVER (PARTITION BY series_id, frame_no)), max(value) OVER (PARTITION BY series_id, frame_no)) AS decoded FROM m)"""
 
 
-def _short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return framed(events(spark, sf_dir)).filter("frame_len <= 512")
-
-
-@query(f"WITH {_frames_sql(EVENTS)} {_IDW} SELECT series_id, frame_no, x AS pos_in_frame, {_round('decoded', 4)} AS decoded FROM y")
+@query(f"WITH {_blocked_sql(EVENTS, 256)} {_IDW} SELECT series_id, frame_no, x AS pos_in_frame, {_round('decoded', 4)} AS decoded FROM y")
 def idw_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decoded = interpolation.idw_decode(interpolation.with_step(_short(spark, sf_dir)))
+    decoded = interpolation.idw_decode(interpolation.with_step(blocked(events(spark, sf_dir), 256)))
     return decoded.select(*FRAME, "pos_in_frame", rounded("decoded", 4).alias("decoded"))
 
 
-@query(f"WITH {_frames_sql(EVENTS)} {_IDW} SELECT series_id, frame_no, {_round(_ERROR, 6)} AS error FROM y GROUP BY 1, 2")
+@query(f"WITH {_blocked_sql(EVENTS, 256)} {_IDW} SELECT series_id, frame_no, {_round(_ERROR, 6)} AS error FROM y GROUP BY 1, 2")
 def idw_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return interpolation.frame_errors(interpolation.idw_decode(interpolation.with_step(_short(spark, sf_dir)))).withColumn("error", rounded("error"))
+    return interpolation.frame_errors(interpolation.idw_decode(interpolation.with_step(blocked(events(spark, sf_dir), 256)))).withColumn("error", rounded("error"))
+
+
+@query()
+def idw_bounded_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole frames, by arrays."""
+    return engine.compress(quantities(spark, sf_dir), codec="idw").drop("payload")
 
 
 def smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,33 +350,35 @@ def poly_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Fourier
 
 
-def _first_64(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = events(spark, sf_dir).filter("pos < 64")
-    return rows.select("series_id", F.lit(0).cast("long").alias("frame_no"), F.lit(64).cast("long").alias("frame_len"), F.col("pos").alias("pos_in_frame"), "value")
+def _blocks_of_64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocked(events(spark, sf_dir), 64)
 
 
-_DFT = f"""WITH s AS ({EVENTS}), f AS (SELECT series_id, 0::BIGINT AS frame_no, pos AS x, value FROM s WHERE pos < 64), b AS (SELECT unnest(range(0, 33)) AS bin),
-d AS (SELECT series_id, frame_no, bin, sum(value * cos(-2 * pi() * ((x * bin) % 64) / 64)) AS re, sum(value * sin(-2 * pi() * ((x * bin) % 64) / 64)) AS im FROM f CROSS JOIN b GROUP BY 1, 2, 3),
-r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY round(sqrt(re * re + im * im), 9) DESC, bin) AS rank FROM d),
+_DFT = f"""WITH {_blocked_sql(EVENTS, 64)},
+d AS (SELECT series_id, frame_no, frame_len, bin, sum(value * cos(-2 * pi() * ((x * bin) % frame_len) / frame_len)) AS re, sum(value * sin(-2 * pi() * ((x * bin) % frame_len) / frame_len)) AS im
+  FROM (SELECT *, unnest(range(0, frame_len // 2 + 1)) AS bin FROM f) GROUP BY 1, 2, 3, 4),
+r AS (SELECT *, row_number() OVER (PARTITION BY series_id, frame_no ORDER BY round(sqrt(re * re + im * im), 9) DESC, bin) AS rank FROM d WHERE re <> 0 OR im <> 0),
 o AS (SELECT * FROM r WHERE rank <= 8)"""
 
 
 @query(f"{_DFT} SELECT series_id, frame_no, bin, {_round('sqrt(re * re + im * im)', 4)} AS norm FROM d")
 def dft_small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spectrum.transform(_first_64(spark, sf_dir))
+    found = spectrum.transform(_blocks_of_64(spark, sf_dir))
     return found.select(*FRAME, "bin", rounded(scalar.norm(F.col("re"), F.col("im")), 4).alias("norm"))
 
 
 @query(f"{_DFT} SELECT series_id, frame_no, bin, rank::INT AS rank FROM o")
 def fft_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spectrum.strongest(spectrum.transform(_first_64(spark, sf_dir)), 8).select(*FRAME, "bin", "rank")
+    return spectrum.strongest(spectrum.transform(_blocks_of_64(spark, sf_dir)), 8).select(*FRAME, "bin", "rank")
 
 
-@query(f"""{_DFT}, i AS (SELECT f.series_id, f.frame_no, x, value, sum(CASE WHEN bin = 0 OR bin = 32 THEN 1 ELSE 2 END * (re * cos(2 * pi() * ((x * bin) % 64) / 64) - im * sin(2 * pi() * ((x * bin) % 64) / 64))) / 64 AS raw
-  FROM f JOIN o USING (series_id) GROUP BY 1, 2, 3, 4)
-SELECT series_id, frame_no, x AS pos_in_frame, {_round("least(greatest(" + _round("raw", 5) + ", min(value) OVER (PARTITION BY series_id)::FLOAT::DOUBLE), max(value) OVER (PARTITION BY series_id)::FLOAT::DOUBLE)", 3)} AS decoded FROM i""")
+@query(f"""{_DFT}, i AS (SELECT f.series_id, f.frame_no, x, value,
+  sum(CASE WHEN bin = 0 OR 2 * bin = f.frame_len THEN 1 ELSE 2 END * (re * cos(2 * pi() * ((x * bin) % f.frame_len) / f.frame_len) - im * sin(2 * pi() * ((x * bin) % f.frame_len) / f.frame_len))) / any_value(f.frame_len) AS raw
+  FROM f JOIN o USING (series_id, frame_no) GROUP BY 1, 2, 3, 4),
+e AS (SELECT *, min(value) OVER w::FLOAT::DOUBLE AS low, max(value) OVER w::FLOAT::DOUBLE AS high FROM i WINDOW w AS (PARTITION BY series_id, frame_no))
+SELECT series_id, frame_no, x AS pos_in_frame, {_round("CASE WHEN low = high THEN high ELSE least(greatest(" + _round("raw", 5) + ", low), high) END", 3)} AS decoded FROM e""")
 def fft_decode_small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _first_64(spark, sf_dir)
+    rows = _blocks_of_64(spark, sf_dir)
     decoded = spectrum.inverse(spectrum.strongest(spectrum.transform(rows), 8), rows)
     return decoded.select(*FRAME, "pos_in_frame", rounded("decoded", 3).alias("decoded"))
 
@@ -411,18 +430,25 @@ def choose(tried: DataFrame, percent: float) -> DataFrame:
 
 
 @query(f"WITH {_frames_sql(SMOOTH)} {_CHOICE} SELECT series_id, frame_no, arg_min(codec, payload_bytes * 10 + rank) AS codec, min(payload_bytes) AS payload_bytes FROM cand GROUP BY 1, 2")
-def codec_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+def codec_choice_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     return choose(candidates(framed(smooth(spark, sf_dir)), ERROR), ERROR)
 
 
-_PREFIX = _frames_sql(SMOOTH, "whole") + ", f AS (SELECT series_id, pos, value, frame_no, frame_start, 256::BIGINT AS frame_len, x FROM whole WHERE frame_len >= 256 AND x < 256)"
+def _chosen(rows: DataFrame, level: int) -> DataFrame:
+    frames = engine.frame_sizes(engine.compress(rows, error=ERROR, level=level))
+    return frames.select(*FRAME, "sample_count", "codec", "error", "payload_bytes")
 
 
-@query(f"WITH {_PREFIX} {_CHOICE} SELECT series_id, frame_no, arg_min(codec, payload_bytes * 10 + rank) AS codec, min(payload_bytes) AS payload_bytes FROM cand GROUP BY 1, 2")
+@query()
+def codec_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All three candidates over all frames; codec_choice_native has the two that SQL can express."""
+    return _chosen(events(spark, sf_dir), 0)
+
+
+@query()
 def codec_choice_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = series.SAMPLE_LEVELS[5]
-    prefix = framed(smooth(spark, sf_dir)).filter((F.col("frame_len") >= size) & (F.col("pos_in_frame") < size))
-    return choose(candidates(prefix.withColumn("frame_len", F.lit(size).cast("long")), ERROR), ERROR)
+    """The codec that is best for the first 256 samples of a frame encodes all of it."""
+    return _chosen(events(spark, sf_dir), 5)
 
 
 @query(f"""WITH {_frames_sql(QUANTITIES)} {_RLE_SIZES}, fr AS (SELECT series_id, frame_no, frame_len, payload_bytes, 2 + {_vl("frame_len")} + {_vl("payload_bytes")} + payload_bytes AS bytes
@@ -447,14 +473,14 @@ def stream_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return total.select("series_id", "samples", "payload_bytes", sizes.stream(F.col("n"), F.col("frames")).alias("stream_bytes"))
 
 
-@query("SELECT event_type AS series_id, count(*)::BIGINT AS samples, true AS in_bound, true AS same_length FROM events GROUP BY 1")
+@query(f"WITH {_frames_sql(EVENTS)} SELECT series_id, frame_no, count(*)::BIGINT AS samples, true AS in_bound, true AS same_length FROM f GROUP BY 1, 2")
 def full_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = smooth(spark, sf_dir)
-    back = engine.decompress(engine.compress(rows, error=ERROR)).withColumnRenamed("value", "decoded")
+    rows = framed(events(spark, sf_dir))
+    back = engine.decompress(engine.compress(rows.select("series_id", "pos", "value"), error=ERROR)).withColumnRenamed("value", "decoded")
     joined = rows.join(back, ["series_id", "pos"], "full")
     error = metrics.mape(F.col("value"), F.col("decoded"))
-    summed = joined.groupBy("series_id").agg(F.count("decoded").alias("samples"), error.alias("error"), F.count("value").alias("n"))
-    return summed.select("series_id", "samples", (F.col("error") <= 0.031).alias("in_bound"), (F.col("samples") == F.col("n")).alias("same_length"))
+    summed = joined.groupBy(*FRAME).agg(F.count("decoded").alias("samples"), error.alias("error"), F.count("value").alias("n"))
+    return summed.select(*FRAME, "samples", (rounded("error", 4) <= scalar.error_bound(ERROR)).alias("in_bound"), (F.col("samples") == F.col("n")).alias("same_length"))
 
 
 @query("SELECT event_type AS series_id, count(*)::BIGINT AS samples, true AS equal FROM events GROUP BY 1")
@@ -523,19 +549,19 @@ def index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def index_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = segments(spark, sf_dir)
     wanted = s.select("series_id", F.explode(F.sequence(F.col("x0"), F.col("x0") + F.col("n") - 1, F.lit(3).cast("long"))).alias("x"))
-    return timeindex.time_at(wanted, s)
+    return timeindex.time_at(wanted, s, span=1 << 16)
 
 
 @query(f"{_SEGMENTS} {_PROBES} SELECT series_id, y, coalesce({_AT}, (SELECT min(x0) FROM sg WHERE sg.series_id = pr.series_id AND y0 >= pr.y)) AS x FROM pr")
 def index_next(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeindex.this_or_next(probes(spark, sf_dir), segments(spark, sf_dir))
+    return timeindex.this_or_next(probes(spark, sf_dir), segments(spark, sf_dir), span=7 * 86400)
 
 
 @query(f"""{_SEGMENTS} {_PROBES}, b AS (SELECT series_id, max(y0 + m * (n - 1)) AS last, sum(n)::BIGINT AS total FROM sg GROUP BY 1)
 SELECT pr.series_id, y, CASE WHEN {_AT} IS NULL AND y >= last THEN total ELSE coalesce({_AT}, (SELECT max(x0 + n - 1) FROM sg WHERE sg.series_id = pr.series_id AND y0 + m * (n - 1) <= pr.y)) END AS x
 FROM pr LEFT JOIN b USING (series_id)""")
 def index_prev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeindex.this_or_previous(probes(spark, sf_dir), segments(spark, sf_dir))
+    return timeindex.this_or_previous(probes(spark, sf_dir), segments(spark, sf_dir), span=7 * 86400)
 
 
 @query(f"{_SEGMENTS}, q AS (SELECT series_id, y0 + m * (n - 1) AS after, lead(y0) OVER (PARTITION BY series_id ORDER BY x0) AS before FROM sg) SELECT * FROM q WHERE before > after + 1")
@@ -561,6 +587,23 @@ def samples_with_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeindex.with_times(samples, s)
 
 
+_FINITE = """(SELECT series_id, ts, id::DOUBLE AS value FROM (SELECT event_type AS series_id, epoch(date_trunc('hour', ts))::BIGINT AS ts, min(event_id) AS id FROM events GROUP BY 1, 2)
+  WHERE id % 7 <> 0 AND id % 11 <> 0 AND id % 13 <> 0)"""
+
+
+@query(_SEGMENTS.replace("(SELECT DISTINCT event_type AS series_id, epoch(date_trunc('hour', ts))::BIGINT AS ts FROM events)", _FINITE) + f""",
+v AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS pos FROM {_FINITE})
+SELECT v.series_id, v.pos::BIGINT AS pos, v.value, y0 + m * (v.pos - x0) AS ts FROM v JOIN sg ON sg.series_id = v.series_id AND v.pos BETWEEN x0 AND x0 + n - 1""")
+def times_through_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A timed series with NaN, inf and null, compressed and back: each sample that is left has the time it had."""
+    hours = F.unix_timestamp(F.date_trunc("HOUR", F.col("ts")).cast("timestamp"))
+    rows = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("series_id"), hours.alias("ts")).agg(F.min("event_id").alias("id"))
+    broken = F.when(F.col("id") % 7 == 0, float("nan")).when(F.col("id") % 11 == 0, float("inf")).when(F.col("id") % 13 == 0, F.lit(None)).otherwise(F.col("id").cast("double"))
+    points = rows.select("series_id", "ts", broken.alias("value"))
+    samples = engine.decompress(engine.compress(points, order=["ts"], codec="rle"))
+    return timeindex.with_times(samples, timeindex.build_index(points, value="value"))
+
+
 @query("""SELECT event_type AS series_id, event_id, epoch(ts)::BIGINT AS ts, coalesce(epoch(ts)::BIGINT < max(epoch(ts)::BIGINT) OVER
   (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS rejected FROM events""")
 def late_points(spark: SparkSession, sf_dir: str) -> DataFrame:

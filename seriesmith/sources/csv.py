@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,29 +18,33 @@ class ValueFieldNotFound(FieldNotFound):
     pass
 
 
+def _value(name: str) -> Column:
+    """The column as a number; a missing or empty value fails the query, as one that is no number does."""
+    return F.coalesce(F.col(f"`{name}`").cast("double"), F.raise_error(F.lit(f"a line has no {name}")).cast("double"))
+
+
 def _with_series(df: DataFrame) -> DataFrame:
     """Each file is a series; its lines are ranked by their place in the file."""
     return df.withColumn("series_id", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?$", 1))
 
 
 def read_with_header(spark: SparkSession, path: str, time_field: str = "time", value_field: str = "value", keep_time: bool = False) -> DataFrame:
-    """(series_id, pos, value, and time if kept) of files with a header that has both fields. A value that is no number fails
-    the query. Positions follow the order of lines, which holds for files that are read as one split or whose splits are
+    """(series_id, pos, value, and time if kept) of files with a header that has both fields. A value that is missing or
+    no number, or a line with too many or too few fields, fails the query. Positions follow the order of lines, which holds for files that are read as one split or whose splits are
     read in order."""
-    lines = spark.read.option("header", True).csv(path)
+    lines = spark.read.option("header", True).option("mode", "FAILFAST").csv(path)
     if time_field not in lines.columns:
         raise TimestampFieldNotFound(time_field)
     if value_field not in lines.columns:
         raise ValueFieldNotFound(value_field)
-    value = F.col(f"`{value_field}`").cast("double")
-    columns = [F.monotonically_increasing_id().alias("pos"), value.alias("value"), *([F.col(f"`{time_field}`").alias("time")] if keep_time else [])]
+    columns = [F.monotonically_increasing_id().alias("pos"), _value(value_field).alias("value"), *([F.col(f"`{time_field}`").alias("time")] if keep_time else [])]
     return _with_series(lines).select("series_id", *columns)
 
 
 def read_without_header(spark: SparkSession, path: str) -> DataFrame:
     """(series_id, pos, value): the first column of files without a header."""
-    lines = spark.read.option("header", False).csv(path)
-    return _with_series(lines).select("series_id", F.monotonically_increasing_id().alias("pos"), F.col("_c0").cast("double").alias("value"))
+    lines = spark.read.option("header", False).option("mode", "FAILFAST").csv(path)
+    return _with_series(lines).select("series_id", F.monotonically_increasing_id().alias("pos"), _value("_c0").alias("value"))
 
 
 def read_typed(spark: SparkSession, path: str) -> DataFrame:

@@ -1,8 +1,13 @@
 """Every engine query against its SQL on the smallest tables."""
 
 import duckdb
+import numpy as np
 import pytest
 
+from seriesmith.operators import frame_codecs
+from seriesmith.operators.compress import bound_of
+from seriesmith.operators.series import SAMPLE_LEVELS
+from seriesmith.plans import queries
 from seriesmith.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -33,6 +38,40 @@ def test_query(spark, db, name):
     assert comparable(mine.select(*names).collect()) == comparable(found.fetchall())
 
 
+@pytest.mark.parametrize(("name", "level"), [("codec_choice", 0), ("codec_choice_sampled", 5)])
+def test_choice_is_the_smallest_of_all_candidates(spark, name, level):
+    """Every frame of every series, each candidate encoded in full."""
+    rows = [(r["series_id"], r["frame_no"], r["pos"], r["value"]) for r in queries.framed(queries.events(spark, SF)).collect()]
+    frames = {}
+    for s, k, _, v in sorted(rows):
+        frames.setdefault((s, k), []).append(v)
+    got = {(r["series_id"], r["frame_no"]): (r["codec"], r["payload_bytes"]) for r in QUERIES[name](spark, SF).collect()}
+    assert set(got) == set(frames)
+    bound = bound_of(queries.ERROR)
+    for at, values in frames.items():
+        x = np.array(values)
+        sample = x[: SAMPLE_LEVELS[level]] if level and len(x) >= SAMPLE_LEVELS[level] else x
+        tried = [(frame_codecs.encode(sample, c, bound), c) for c in frame_codecs.AUTO]
+        size, codec = min(((len(p), c) for (p, e), c in tried if e <= bound), key=lambda t: t[0])
+        codec = "constant" if x.min() == x.max() else codec
+        assert got[at] == (codec, len(frame_codecs.encode(x, codec, bound)[0]))
+
+
+def test_whole_frames_against_a_slow_transform():
+    rng = np.random.default_rng(1)
+    x = np.round(rng.normal(size=200).cumsum() + 50, 2)
+    y = frame_codecs.pad(x)
+    n = len(y)
+    at = np.arange(n)
+    slow = np.array([(y.astype(np.float32) * np.exp(-2j * np.pi * k * at / n)).sum() for k in range(n // 2 + 1)])
+    payload, error = frame_codecs.fft_encode(x, points=9)
+    kept = np.argsort(-np.abs(slow), kind="stable")[:9]
+    back = sum((1 if k == 0 or 2 * k == n else 2) * (slow[k] * np.exp(2j * np.pi * k * at / n)).real for k in kept) / n
+    before = (n - len(x)) // 2
+    np.testing.assert_allclose(frame_codecs.decode(payload, "fft", len(x)), np.clip(back, x.min(), x.max())[before : before + len(x)], atol=2e-4)
+    assert error == pytest.approx(np.mean(np.abs((np.clip(back, x.min(), x.max()) - y) / y)), abs=1e-5)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
