@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from seriesmith.functions import metrics, scalar, sizes
 from seriesmith.operators import compress as engine
 from seriesmith.operators import interpolation, runs, series, spectrum, timeindex
+from seriesmith.sources import binary, csv, files
 
 FRAME = ["series_id", "frame_no"]
 ERROR = 3.0
@@ -491,6 +492,57 @@ def lossless_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("series_id").agg(F.count("value").alias("samples"), F.bool_and(F.coalesce(F.col("value") == F.col("decoded"), F.lit(False))).alias("equal"))
 
 
+# sources and sinks
+
+
+@query(f"WITH s AS ({QUANTITIES}) SELECT series_id, pos::BIGINT AS pos, value FROM s")
+def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of raw samples and back."""
+    return binary.raw_samples(binary.raw_files(quantities(spark, sf_dir)))
+
+
+@query(f"WITH s AS ({EVENTS}) SELECT series_id, pos::BIGINT AS pos, value FROM s")
+def wav_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary.wav_samples(binary.wav_files(events(spark, sf_dir)))
+
+
+@query(f"WITH s AS ({STATUSES}) SELECT series_id, pos::BIGINT AS pos, value FROM s")
+def stream_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compressed streams, each with its header and frames, and back."""
+    frames = engine.compress(statuses(spark, sf_dir), codec="rle")
+    return engine.decompress(binary.frames_of(binary.stream_files(frames)))
+
+
+_TIMED = "SELECT event_type AS series_id, (epoch_ns(ts) // 1000000)::BIGINT AS timestamp, value FROM events"
+
+
+def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    millis = F.unix_millis(F.col("ts").cast("timestamp"))
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("series_id"), millis.alias("timestamp"), "value")
+
+
+@query(f"SELECT timestamp, value FROM ({_TIMED})")
+def csv_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with timestamp and value, written and read back."""
+    path = files.shared_path(spark, "csv")
+    csv.write_typed(_timed(spark, sf_dir), path)
+    return csv.read_typed(spark, path).select("timestamp", "value")
+
+
+@query(f"SELECT timestamp::VARCHAR AS time, value FROM ({_TIMED})")
+def csv_with_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = files.shared_path(spark, "csv")
+    _timed(spark, sf_dir).select(F.lit("x").alias("other"), F.col("value").alias("v"), F.col("timestamp").alias("t")).write.option("header", True).csv(path)
+    return csv.read_with_header(spark, path, "t", "v", keep_time=True).select("time", "value")
+
+
+@query(f"SELECT value FROM ({_TIMED})")
+def csv_without_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = files.shared_path(spark, "csv")
+    _timed(spark, sf_dir).select("value").write.csv(path)
+    return csv.read_without_header(spark, path).select("value")
+
+
 # time index
 
 
@@ -532,6 +584,17 @@ def index_segments_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeindex.build_index_native(seconds(spark, sf_dir))
 
 
+@query(f"""{_SEGMENTS} SELECT series_id, min(y0) || chr(10) || max(y0 + m * (n - 1)) || chr(10) || string_agg(concat_ws(',', m, x0, y0, n), chr(10) ORDER BY x0) AS value
+FROM sg GROUP BY 1""")
+def index_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary.index_lines(segments(spark, sf_dir))
+
+
+@query(f"{_SEGMENTS} SELECT series_id, seg_no, m, x0, y0, n FROM sg")
+def index_text_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary.index_of(binary.index_lines(segments(spark, sf_dir)))
+
+
 @query(f"{_SEGMENTS} SELECT series_id, min(y0) AS min_ts, max(y0 + m * (n - 1)) AS max_ts, sum(n)::BIGINT AS samples FROM sg GROUP BY 1")
 def index_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeindex.bounds(segments(spark, sf_dir))
