@@ -51,9 +51,13 @@ def unboxed(columns: list[str]) -> list[Column]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local master gets a temporary
+    one; on a cluster it is an error, as each executor would write to its own disk."""
     folder = spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="seriesmith-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -110,11 +114,9 @@ def join_small(large: DataFrame, small: DataFrame, on: Column, how: str = "inner
 def _delete(paths: list[tuple[SparkSession, str]]) -> None:
     while paths:
         spark, path = paths.pop()
-        try:
+        with contextlib.suppress(Exception):  # the session may have ended; the folder is the cluster's to clean
             where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session has ended; the folder is the cluster's to clean
-            return
 
 
 atexit.register(lambda: (_delete(_last_stage), _delete(_written)))
