@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesmith.llm.common import boxed, materialize, unboxed, without
+from seriesmith.llm.common import boxed, in_slices, materialize, unboxed, without
 
 CAPACITY = 4096
 END_ID = 1
@@ -147,8 +147,7 @@ def pieces_of(docs: DataFrame, text: str, tokenizer_path: str, capacity: int = C
     """A row for each piece, with the document's other columns boxed."""
     end = np.array([END_ID], "<u4").tobytes()
 
-    @F.arrow_udf(PIECES)
-    def tokenized(texts: pa.Array) -> pa.Array:
+    def cut_texts(texts: pa.Array) -> pa.Array:
         raw = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
         cuts = [cut(ids + end, capacity) for ids in tokenizer(tokenizer_path).encode(raw)]
         offsets = np.cumsum([0, *map(len, cuts)]).astype(np.int32)
@@ -156,6 +155,10 @@ def pieces_of(docs: DataFrame, text: str, tokenizer_path: str, capacity: int = C
         columns = [pa.array(c, f.type) for c, f in zip(zip(*flat, strict=True), PIECE, strict=True)] if flat else [pa.array([], f.type) for f in PIECE]
         return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, fields=list(PIECE)))
 
+    @F.arrow_udf(PIECES)
+    def tokenized(texts: pa.Array) -> pa.Array:
+        return in_slices(cut_texts, texts)
+
     return docs.select(*boxed(without(docs.columns, [*MADE, text])), F.inline(tokenized(F.col(text))))
 
 
