@@ -41,7 +41,7 @@ CHUNK = 100_000
 #: Free places of a certified group that needn't be filled, and bins that a round must save, by share.
 SETTLED = LEAST_GAIN = 0.001
 #: Distinct words of a generation; a Python worker remembers the ids of two of them.
-WORDS_KEPT = 250_000
+WORDS_KEPT = 100_000
 PIECES = T.ArrayType(
     T.StructType(
         [
