@@ -40,8 +40,8 @@ GAP = 16
 CHUNK = 100_000
 #: Free places of a certified group that needn't be filled, and bins that a round must save, by share.
 SETTLED = LEAST_GAIN = 0.001
-#: Distinct words of a generation; a Python worker remembers the ids of two of them.
-WORDS_KEPT = 100_000
+#: Distinct words of a generation; a Python worker remembers the ids of two of them; the process then took 240 MB (190 MB at 100,000).
+WORDS_KEPT = 250_000
 PIECES = T.ArrayType(
     T.StructType(
         [
@@ -55,7 +55,7 @@ PIECES = T.ArrayType(
 PIECE = pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 MADE = ("piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified")
 
-_tokenizers: dict[str, WordTokenizer] = {}
+_tokenizers: dict[tuple[str, int | None], WordTokenizer] = {}
 
 
 #: How a tokenizer that _plain_pieces() stands for cuts lower-cased text, and its other steps.
@@ -81,11 +81,12 @@ class WordTokenizer:
     for each piece; all other words go through the tokenizer itself.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, words_kept: int | None = None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.words_kept = words_kept or WORDS_KEPT
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -99,7 +100,7 @@ class WordTokenizer:
     def _piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
-            if len(self.pieces) > WORDS_KEPT:
+            if len(self.pieces) > self.words_kept:
                 self.pieces.clear()
             symbols = "".join(map(self.letters.__getitem__, piece.encode()))
             ids = self.pieces[piece] = struct.pack(f"<{len(found := self.model.tokenize(symbols))}I", *(t.id for t in found))
@@ -121,7 +122,7 @@ class WordTokenizer:
         """The ids of each text, as little-endian unsigned 32-bit numbers."""
         for text in texts:
             words = text.split()
-            if len(self.known) > WORDS_KEPT:
+            if len(self.known) > self.words_kept:
                 self.known, self.older = {}, self.known
             missing = set(words).difference(self.known)
             if missing:
@@ -131,10 +132,10 @@ class WordTokenizer:
             yield b"".join(map(self.known.__getitem__, words))
 
 
-def tokenizer(path: str) -> WordTokenizer:
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+def tokenizer(path: str, words_kept: int | None = None) -> WordTokenizer:
+    if (path, words_kept) not in _tokenizers:
+        _tokenizers[path, words_kept] = WordTokenizer(path, words_kept)
+    return _tokenizers[path, words_kept]
 
 
 def cut(ids: bytes, capacity: int) -> list[tuple[int, int, int, bytes]]:
@@ -143,13 +144,13 @@ def cut(ids: bytes, capacity: int) -> list[tuple[int, int, int, bytes]]:
     return [(k, k * capacity, len(ids[at : at + step]) // 4, ids[at : at + step]) for k, at in enumerate(range(0, len(ids), step))]
 
 
-def pieces_of(docs: DataFrame, text: str, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
+def pieces_of(docs: DataFrame, text: str, tokenizer_path: str, capacity: int = CAPACITY, words_kept: int | None = None) -> DataFrame:
     """A row for each piece, with the document's other columns boxed."""
     end = np.array([END_ID], "<u4").tobytes()
 
     def cut_texts(texts: pa.Array) -> pa.Array:
         raw = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
-        cuts = [cut(ids + end, capacity) for ids in tokenizer(tokenizer_path).encode(raw)]
+        cuts = [cut(ids + end, capacity) for ids in tokenizer(tokenizer_path, words_kept).encode(raw)]
         offsets = np.cumsum([0, *map(len, cuts)]).astype(np.int32)
         flat = [(k, start, n, zlib.crc32(ids)) for one in cuts for k, start, n, ids in one]
         columns = [pa.array(c, f.type) for c, f in zip(zip(*flat, strict=True), PIECE, strict=True)] if flat else [pa.array([], f.type) for f in PIECE]
@@ -253,10 +254,12 @@ def _packer(capacity: int, chunk: int, tag: int, old: bool, keep_open: bool):
     return pack_rows
 
 
-def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", capacity: int = CAPACITY, chunk: int = CHUNK) -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer_path: str, text: str = "text", capacity: int = CAPACITY, chunk: int = CHUNK, words_kept: int | None = None
+) -> DataFrame:
     """A row for each piece: the document's other columns, piece, start, length, ids_crc32, sequence_id, offset, and whether
     the number of bins of the group in which it was packed at last is certified."""
-    pieces = materialize(pieces_of(docs, text, tokenizer_path, capacity), "pieces")
+    pieces = materialize(pieces_of(docs, text, tokenizer_path, capacity, words_kept), "pieces")
     kinds = {"sequence_id": T.LongType(), "offset": T.LongType(), "certified": T.BooleanType(), "open": T.BooleanType()}
     schema = T.StructType([*pieces.schema, *(T.StructField(name, kind) for name, kind in kinds.items())])
     histogram = np.zeros(capacity + 1, np.int64)
