@@ -1,15 +1,19 @@
-"""Near-dedup by the exact Jaccard similarity of 5-word shingles: documents link where it is 0.8 or more.
-
-The pipeline's stage uses this instead of simhash's Golay keys: sets of similarity 0.8 differ in about ten of 64 fingerprint
-bits, and no radius that leaves unlike texts apart finds them all (the README has figures).
-
-A document is its set of shingle hashes (64 bits); equal sets are one node. Of each set the smallest hashes are keys, so
-many that two sets of similarity 0.8 share one (prefix filter): no such pair is missed. Nodes that share a key are compared
-by their sizes and by parity sketches, whose bits differ at no more places than the sets do, so both filters drop only pairs
-below 0.8. What they leave is verified by shared shingles. So that large groups of copies don't make all their pairs, a
-crowded key first gives each node's nearest one, then the nearest pair of each two components, and at last all pairs that
-are still in different components; linked pairs inside a component need no more checks. A key with more than BLOCK nodes is
-dealt in blocks: each two of its blocks meet in a task, so that none holds more than two blocks, however large the group.
+"""Near-dedup by SimHash fingerprints with Golay-code keys, made complete to all pairs of Jaccard similarity 0.8 or more.
+
+A document is its set of 5-word shingle hashes (64 bits); equal sets are one node. Nodes get a SimHash fingerprint of their
+set. Fingerprints that share a Golay key are linked as in simhash, and the links are candidates, verified by shared shingles.
+What they join is the start of the components.
+
+Sets of similarity 0.8 differ in about ten of 64 fingerprint bits, so fingerprints alone can't find them all (the README has
+figures). The rest is found exactly by a prefix filter: of each set the first hashes of one order are keys, so many that two
+sets of similarity 0.8 share one, and no such pair is missed. The order puts hashes that are common in a sample of documents
+last, the commonest at the very end; any order is exact, this one leaves few keys with many nodes. Keys are dealt in passes,
+so that a pass's shuffle is a part of all keys. Only pairs that aren't in one component yet are looked at: by their sizes,
+then by parity sketches with a bit for each hash at least, whose bits differ at no more places than the sets do, so that
+both filters drop only pairs below 0.8; what they leave is verified by shared shingles. So that large groups of copies don't
+make all their pairs, a crowded key first gives each node's nearest one, then the nearest pair of each two components, and
+at last all pairs that are still in different components. A key with more than BLOCK nodes is dealt in blocks: each two of
+its blocks meet in a task, so that none holds more than two blocks, however large the group.
 
 Defined cases: words are split and lower-cased as in simhash; fewer words than a shingle give one shingle of them all; texts
 without words, null ones too, are equal; texts of any length are processed whole; a group keeps the row with its smallest
@@ -24,30 +28,36 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesmith.llm.common import boxed, in_slices, join_small, materialize
+from seriesmith.llm.common import boxed, discard, in_slices, join_small, materialize
 from seriesmith.llm.components import components
-from seriesmith.llm.simhash import LOWER, SEED
+from seriesmith.llm.simhash import LOWER, SEED, fingerprint, links
 
 SHINGLE = 5
-#: Bits of a parity sketch, and nodes up to which a key gives all pairs at once.
+#: Bits of a parity sketch at least, and nodes up to which a key gives all pairs at once.
 SKETCH, FEW = 512, 8
+#: More than any distance.
+FAR = 1 << 62
 #: Nodes of a key's block.
 BLOCK = 8192
-WORDS = SKETCH // 64
+#: Parts of the keys that are dealt one after the other.
+PASSES = 4
+#: Documents of which common hashes are learned, the fewest of them that have one, and the most such hashes.
+SAMPLE, COMMON, MOST_COMMON = 20_000, 3, 200_000
+MET = "key long, a long, b long, n long"
 NODE = T.StructType(
     [
         T.StructField("node", T.LongType()),
         T.StructField("size", T.LongType()),
+        T.StructField("fp", T.LongType()),
         T.StructField("keys", T.ArrayType(T.LongType())),
-        T.StructField("sketch", T.BinaryType()),
         T.StructField("wide", T.BinaryType()),
     ]
 )
-_ARROW = pa.struct([("node", pa.int64()), ("size", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary()), ("wide", pa.binary())])
+_ARROW = pa.struct([("node", pa.int64()), ("size", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("wide", pa.binary())])
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -66,10 +76,16 @@ def node_of(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes(), SEED)).view(np.int64))
 
 
-def prefix(hashes: np.ndarray) -> np.ndarray:
-    """A set shares four fifths of itself at least with one that is similar, so one of these."""
+def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """A set shares four fifths of itself at least with one that is similar, so one of these. common: hashes in order and
+    their ranks; they come after all others, by rank."""
     n = len(hashes)
-    return hashes[: n - (4 * n + 4) // 5 + 1]
+    keep = n - (4 * n + 4) // 5 + 1
+    if common is not None and len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], hashes), len(common[0]) - 1)
+        known = common[0][at] == hashes
+        hashes = np.concatenate([hashes[~known], hashes[known][np.argsort(common[1][at[known]])]])
+    return hashes[:keep]
 
 
 def sketch(hashes: np.ndarray, bits: int = SKETCH) -> bytes:
@@ -97,17 +113,28 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 9 * both >= 4 * (len(a) + len(b))
 
 
-def _nodes_of(texts: pa.Array) -> pa.Array:
-    rows = []
-    for t in texts.cast(pa.binary()).to_pylist():
-        h = shingle_set(t or b"")
-        rows.append({"node": node_of(h), "size": len(h), "keys": prefix(h).view(np.int64), "sketch": sketch(h), "wide": wide(h)})
-    return pa.array(rows, _ARROW)
+def _node(common: tuple[np.ndarray, np.ndarray]) -> Callable[[Column], Column]:
+    def nodes_of(texts: pa.Array) -> pa.Array:
+        rows = []
+        for t in texts.cast(pa.binary()).to_pylist():
+            h = shingle_set(t or b"")
+            rows.append({"node": node_of(h), "size": len(h), "fp": fingerprint(h), "keys": prefix(h, common).view(np.int64), "wide": wide(h)})
+        return pa.array(rows, _ARROW)
+
+    @F.arrow_udf(NODE)
+    def node(texts: pa.Array) -> pa.Array:
+        return in_slices(nodes_of, texts)
+
+    return node
+
 
+def _hashes_of(texts: pa.Array) -> pa.Array:
+    return pa.array((shingle_set(t or b"").view(np.int64) for t in texts.cast(pa.binary()).to_pylist()), pa.list_(pa.int64()))
 
-@F.arrow_udf(NODE)
-def _node(texts: pa.Array) -> pa.Array:
-    return in_slices(_nodes_of, texts)
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _hashes(texts: pa.Array) -> pa.Array:
+    return in_slices(_hashes_of, texts)
 
 
 def _sets_of(texts: pa.Array) -> pa.Array:
@@ -137,27 +164,29 @@ def _apart(a: pa.Array, b: pa.Array) -> pa.Array:
     return in_slices(_all_apart, a, b)
 
 
-def _starts(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
-    """Where keys, or cells of a key, begin."""
-    keys, cells = batch.column("key").to_numpy(), batch.column("cell").to_numpy()
-    return np.concatenate(([0], np.flatnonzero((np.diff(keys) != 0) | (np.diff(cells) != 0)) + 1))
+def _starts(batch: pa.RecordBatch | pa.Table, names: tuple[str, ...]) -> np.ndarray:
+    """Where a row differs from the one before in the named columns."""
+    new = np.zeros(max(batch.num_rows - 1, 0), bool)
+    for name in names:
+        new |= np.diff(batch.column(name).to_numpy()) != 0
+    return np.concatenate(([0], np.flatnonzero(new) + 1))
 
 
-def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Rows in the order of keys and cells as tables of whole cells, with the starts of cells and the end."""
+def _whole_keys(batches: Iterator[pa.RecordBatch], names: tuple[str, ...] = ("key", "cell")) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows in the order of the named columns as tables of whole groups, with the starts of groups and the end."""
     held: list[pa.RecordBatch] = []
     last = None
 
     def given(parts: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
         table = pa.Table.from_batches(parts).combine_chunks()
-        return table, np.append(_starts(table), table.num_rows)
+        return table, np.append(_starts(table, names), table.num_rows)
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        name = (batch.column("key")[-1].as_py(), batch.column("cell")[-1].as_py())
+        name = tuple(batch.column(c)[-1].as_py() for c in names)
         if name != last:
-            cut = int(_starts(batch)[-1])
+            cut = int(_starts(batch, names)[-1])
             done = [*held, batch.slice(0, cut)]
             if sum(b.num_rows for b in done):
                 yield given(done)
@@ -168,47 +197,77 @@ def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, n
         yield given(held)
 
 
-def _sketches(table: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, WORDS)
-
-
-def _few_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of nodes that share a key and pass the filters."""
-    for table, _ in _whole_keys(batches):
-        keys, nodes, sizes, bits = *(table.column(c).to_numpy() for c in ("key", "node", "size")), _sketches(table)
-        for d in range(1, min(FEW, len(keys))):
-            one = np.flatnonzero(keys[d:] == keys[:-d])
-            a, b = one, one + d
-            total = sizes[a] + sizes[b]
-            near = 9 * np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) <= total
-            near &= 5 * np.minimum(sizes[a], sizes[b]) >= 4 * np.maximum(sizes[a], sizes[b])
-            a, b = nodes[a[near]], nodes[b[near]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-
-def group_pairs(sizes: np.ndarray, bits: np.ndarray, labels: np.ndarray, blocks: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+def _met(few: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (key, node, size) in the order of keys to MET: pairs (a, b) of like sizes of a key with few nodes; each node, as a,
+    of one with more, whose number is n."""
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _whole_keys(batches, ("key",)):
+            keys, nodes, sizes = (table.column(c).to_numpy() for c in ("key", "node", "size"))
+            counts = np.diff(starts)
+            counts = np.repeat(counts, counts)
+            pairs = np.zeros((0, 2), np.int64)
+            for d in range(1, min(few, len(keys))):
+                at = np.flatnonzero((keys[d:] == keys[:-d]) & (counts[d:] <= few))
+                x, y = sizes[at], sizes[at + d]
+                at = at[5 * np.minimum(x, y) >= 4 * np.maximum(x, y)]
+                pairs = np.concatenate([pairs, np.sort(np.stack([nodes[at], nodes[at + d]], axis=1), axis=1)])
+            pairs = np.unique(pairs, axis=0)
+            many = np.flatnonzero(counts > few)
+            none = pa.nulls(len(pairs), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none], names=["key", "a", "b", "n"])
+            for at in range(0, len(many), 10_000):
+                some = many[at : at + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(nodes[some]), pa.nulls(len(some), pa.int64()), pa.array(counts[some])], names=["key", "a", "b", "n"])
+
+    return met
+
+
+def _classes(sketches: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """starts, tables: the sketches of nodes ordered by size as tables of one width each, as words of 64 bits."""
+    widths = np.array([len(x) for x in sketches])
+    starts = np.append(np.concatenate(([0], np.flatnonzero(np.diff(widths)) + 1)), len(widths))
+    return starts, [np.frombuffer(b"".join(sketches[a:b]), np.uint64).reshape(b - a, -1) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+
+
+def _distances(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Differing bits of each two rows; the wider ones are folded, as in apart()."""
+    while one.shape[1] > two.shape[1]:
+        one = one[:, : one.shape[1] // 2] ^ one[:, one.shape[1] // 2 :]
+    distance = np.zeros((len(one), len(two)), np.int64)
+    for w in range(one.shape[1]):
+        distance += np.bitwise_count(one[:, w][:, None] ^ two[:, w][None, :])
+    return distance
+
+
+def group_pairs(sizes: np.ndarray, sketches: list[bytes], labels: np.ndarray, blocks: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a key's nodes, ordered by size, that pass the filters and differ in labels: at step 0 each node's nearest
     one before it, at 1 the nearest pair of two labels, at 2 all. Of two blocks only pairs across them count."""
     two = blocks.min() != blocks.max()
     left, right, far = [], [], []
     block = max(1, (1 << 20) // len(sizes))
-    for low in range(0, len(sizes), block):
-        rows = np.arange(low, min(len(sizes), low + block))
+    starts, tables = _classes(sketches)
+    for k, low in ((k, low) for k in range(len(tables)) for low in range(int(starts[k]), int(starts[k + 1]), block)):
+        rows = np.arange(low, min(int(starts[k + 1]), low + block))
         begin = int(np.searchsorted(5 * sizes, 4 * sizes[low]))
         columns = np.arange(begin, rows[-1])
         if not len(columns):
             continue
-        distance = np.zeros((len(rows), len(columns)), np.int64)
-        for w in range(WORDS):
-            distance += np.bitwise_count(bits[rows, w][:, None] ^ bits[columns, w][None, :])
+        mine = tables[k][rows - starts[k]]
+        parts = []
+        for m in range(k + 1):  # of the narrower ones, only the next can be of like sizes
+            a, b = max(begin, int(starts[m])), min(int(rows[-1]), int(starts[m + 1]))
+            if a < b:
+                parts.append(_distances(mine, tables[m][a - starts[m] : b - starts[m]]))
+        distance = np.concatenate(parts, axis=1)
         x, y = sizes[rows][:, None], sizes[columns][None, :]
         passed = (9 * distance <= x + y) & (5 * y >= 4 * x) & (columns[None, :] < rows[:, None]) & (labels[rows][:, None] != labels[columns][None, :])
         if two:
             passed &= blocks[rows][:, None] != blocks[columns][None, :]
         if step == 0:
-            distance[~passed] = SKETCH + 1
+            distance[~passed] = FAR
             best = distance.argmin(axis=1)
-            some = distance[np.arange(len(rows)), best] <= SKETCH
+            some = distance[np.arange(len(rows)), best] < FAR
             left.append(rows[some])
             right.append(columns[best[some]])
         else:
@@ -231,12 +290,12 @@ def _crowd_pairs(step: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in _whole_keys(batches):
             nodes, sizes, labels, blocks = (table.column(c).to_numpy() for c in ("node", "size", "label", "block"))
-            bits = _sketches(table)
+            bits = table.column("wide")
             for low, high in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                if step and (labels[low:high] == labels[low]).all():
+                if (labels[low:high] == labels[low]).all():
                     continue
                 order = low + np.argsort(sizes[low:high], kind="stable")
-                i, j = group_pairs(sizes[order], bits[order], labels[order], blocks[order], step)
+                i, j = group_pairs(sizes[order], bits.take(pa.array(order)).to_pylist(), labels[order], blocks[order], step)
                 a, b = nodes[order[i]], nodes[order[j]]
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
@@ -244,6 +303,14 @@ def _crowd_pairs(step: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return pairs
 
 
+def _unlike(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) that aren't in one component. roots: node, root of the nodes that have links."""
+    for end in "a", "b":
+        of = roots.select(F.col("node").alias(f"_{end}"), F.col("root").alias(f"_{end}_root"))
+        pairs = join_small(pairs, of, F.col(end) == F.col(f"_{end}"), "left")
+    return pairs.filter(F.coalesce("_a_root", "a") != F.coalesce("_b_root", "b")).select("a", "b")
+
+
 def _checked(pairs: DataFrame, done: DataFrame | None, nodes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) that haven't been checked, and edges (u, v): those that are similar. Wide sketches are compared first;
     the sets are made again, of one document of each node in a pair which is left. texts: _row, _text."""
@@ -262,7 +329,9 @@ def _checked(pairs: DataFrame, done: DataFrame | None, nodes: DataFrame, texts:
     one = sets.select(F.col("n").alias("_a"), F.col("members").alias("x"))
     two = sets.select(F.col("n").alias("_b"), F.col("members").alias("y"))
     both = close.join(one.hint("merge"), F.col("a") == F.col("_a")).join(two.hint("merge"), F.col("b") == F.col("_b"))
-    return pairs, materialize(both.filter(_verified(F.col("x"), F.col("y"))).select(F.col("a").alias("u"), F.col("b").alias("v")), "similar")
+    found = materialize(both.filter(_verified(F.col("x"), F.col("y"))).select(F.col("a").alias("u"), F.col("b").alias("v")), "similar")
+    discard(close, used, sets)
+    return pairs, found
 
 
 def _cells(crowded: DataFrame, block: int) -> DataFrame:
@@ -274,43 +343,78 @@ def _cells(crowded: DataFrame, block: int) -> DataFrame:
     return dealt.select("key", "node", "block", cell.alias("cell"))
 
 
+def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the sample's common shingles in order, and their ranks: the commonest is last."""
+    one_in = max(1, rows.count() // SAMPLE)
+    some = rows.filter(F.pmod(F.xxhash64("_row"), F.lit(one_in)) == 0).select(F.explode(_hashes(F.col("_text"))).alias("hash"))
+    often = materialize(some.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON), "common")
+    found = often.orderBy(F.desc("n"), "hash").limit(MOST_COMMON).toArrow()
+    hashes = found.column("hash").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], len(hashes) - 1 - order
+
+
+def _golay_pairs(nodes: DataFrame) -> DataFrame:
+    """Candidates (a, b): nodes with equal fingerprints, and those whose fingerprints simhash links by their Golay keys."""
+    firsts = materialize(nodes.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
+    first = lambda end: firsts.select(F.col("fp").alias(f"_{end}"), F.col("first").alias(end))
+    equal = nodes.select("fp", "node").join(first("a"), F.col("fp") == F.col("_a")).select("a", F.col("node").alias("b"))
+    near = links(firsts.select("fp")).join(first("a"), F.col("u") == F.col("_a")).join(first("b"), F.col("v") == F.col("_b"))
+    pairs = equal.union(near.select("a", "b")).filter("a != b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _keyed(nodes: DataFrame) -> DataFrame:
+    """MET of all keys, dealt in passes."""
+    keys = nodes.select(F.explode("keys").alias("key"), "node", "size")
+    parts = []
+    for k in range(PASSES):
+        dealt = keys.filter(F.pmod("key", F.lit(PASSES)) == k).repartition("key").sortWithinPartitions("key")
+        parts.append(materialize(dealt.mapInArrow(_met(FEW), MET), "met"))
+    met = parts[0]
+    for part in parts[1:]:
+        met = met.union(part)
+    return met
+
+
+def _joined(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """The components so far, which stand for the edges that made them as stars, and more edges."""
+    if found.isEmpty():
+        return roots
+    return materialize(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(found)), "roots")
+
+
 def _grouped(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """prints with stay (doc_id, row): the row that stays of its component. rows: _row, _id (not null), _text."""
-    prints = rows.select("_row", F.col("_id").alias("doc_id"), _node(F.col("_text")).alias("p"))
+    prints = rows.select("_row", F.col("_id").alias("doc_id"), _node(_common(rows))(F.col("_text")).alias("p"))
     prints = materialize(prints.select("_row", "doc_id", "p.*"), "sets-of")
-    first = [F.first(c).alias(c) for c in ("size", "keys", "sketch", "wide")]
-    lead = F.min(F.struct(F.col("doc_id"), F.col("_row").alias("row"))).alias("lead")
-    nodes = materialize(prints.groupBy("node").agg(lead, *first), "nodes")
-    keyed = nodes.select(F.explode("keys").alias("key"), "node")
-    counts = keyed.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = keyed.join(materialize(counts, "counts").hint("merge"), F.col("key") == F.col("_key")).select("key", "node", "n")
-    shared = materialize(shared, "shared")
-    about = nodes.select(F.col("node").alias("_node"), "size", "sketch", F.col("node").alias("label"))
-
-    def by_key(some: DataFrame, more: DataFrame) -> DataFrame:
-        joined = some.join(more.hint("merge"), F.col("node") == F.col("_node")).select("key", "cell", "block", "node", "size", "sketch", "label")
-        return joined.repartition("key", "cell").sortWithinPartitions("key", "cell")
-
-    few = shared.filter(F.col("n") <= FEW).select("key", "node", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("cell"))
-    crowded = _cells(shared.filter(F.col("n") > FEW), block)
-    pairs = by_key(few, about).mapInArrow(_few_pairs, "a long, b long")
-    pairs = pairs.union(by_key(crowded, about).mapInArrow(_crowd_pairs(0), "a long, b long"))
+    ids = materialize(prints.select("_row", "doc_id", "node"), "ids")
+    leads = materialize(ids.groupBy("node").agg(F.min(F.struct("doc_id", F.col("_row").alias("row"))).alias("lead")).select("lead", F.col("lead.row").alias("_first")), "leads")
+    nodes = materialize(join_small(prints, leads, F.col("_row") == F.col("_first")).select("node", "lead", "size", "fp", "keys", "wide"), "nodes")
+    discard(prints, leads)
     texts = rows.select("_row", "_text")
-    done, edges = _checked(pairs, None, nodes, texts)
-    roots = components(edges)
-    for step in () if crowded.isEmpty() else (1, 2):
+    done, found = _checked(_golay_pairs(nodes), None, nodes, texts)
+    roots = materialize(components(found), "roots")
+    met = _keyed(nodes)
+    more, found = _checked(_unlike(met.filter("b IS NOT NULL").select("a", "b"), roots), done, nodes, texts)
+    done, roots = done.union(more), _joined(roots, found)
+    crowded = _cells(met.filter("b IS NULL").select("key", F.col("a").alias("node"), "n"), block)
+    about = nodes.select(F.col("node").alias("_node"), "size", "wide")
+    for step in () if crowded.isEmpty() else (0, 1, 2):
         labels = roots.select(F.col("node").alias("_of"), "root")
-        known = about.join(labels.hint("merge"), F.col("_node") == F.col("_of"), "left").select("_node", "size", "sketch", F.coalesce("root", "_node").alias("label"))
-        more, found = _checked(by_key(crowded, known).mapInArrow(_crowd_pairs(step), "a long, b long"), done, nodes, texts)
-        done = done.union(more)
-        if not found.isEmpty():  # the components so far, as stars, stand for the edges that made them
-            roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(found))
+        known = join_small(about, labels, F.col("_node") == F.col("_of"), "left").select("_node", "size", "wide", F.coalesce("root", "_node").alias("label"))
+        joined = crowded.join(known.hint("merge"), F.col("node") == F.col("_node")).select("key", "cell", "block", "node", "size", "wide", "label")
+        pairs = joined.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_crowd_pairs(step), "a long, b long")
+        more, found = _checked(pairs, done, nodes, texts)
+        done, roots = done.union(more), _joined(roots, found)
+    discard(met)
     roots = roots.select(F.col("node").alias("_of"), "root")
     rooted = nodes.select("node", "lead").join(roots, F.col("node") == F.col("_of"), "left")
     rooted = materialize(rooted.select("node", "lead", F.coalesce("root", "node").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("lead").alias("stay")).select((F.col("root") + F.lit(0)).alias("_root"), "stay")
     stays = materialize(rooted.join(least, F.col("root") == F.col("_root")).select(F.col("node").alias("_node"), "stay"), "components")
-    return prints.select("_row", "doc_id", "node").join(stays, F.col("node") == F.col("_node")).select("_row", "doc_id", "stay")
+    discard(nodes, rooted, done)
+    return ids.join(stays, F.col("node") == F.col("_node")).select("_row", "doc_id", "stay")
 
 
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK) -> DataFrame:

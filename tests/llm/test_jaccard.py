@@ -1,10 +1,13 @@
+import os
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from seriesmith.llm import jaccard as J
+from seriesmith.llm.common import shared_dir
 
 
 def shingles(text):
@@ -94,3 +97,50 @@ def test_the_stage_drops_copies_with_some_edits(spark, table):
     assert want == [0, 3] and kept.columns == docs.columns
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [*want, None]
     assert P.near_stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_the_stage_deletes_its_work_tables(spark, table):
+    """Only what the result is read from stays on disk: rows, ids, components, and small tables of links."""
+    folder = f"{shared_dir(spark).removeprefix('file:')}/seriesmith"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    rows = documents(groups=2)
+    kept = P.near_stage(spark, table([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long"), "")
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before}
+    assert "rows" in left and not left & {"sets-of", "nodes", "leads", "met", "close", "used", "sets", "pairs"}
+    assert {r["doc_id"] for r in kept.collect()} == set(brute(rows).values())
+
+
+def test_a_common_passage_is_no_key(table):
+    """Unlike documents that share a passage share no key, so they make no pairs, however many they are."""
+    passage = " ".join(f"p{k}" for k in range(30))
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(100)) + " " + passage) for i in range(40)]
+    docs = table(rows, "_row long, _text string")
+    common = J._common(docs)
+    assert len(common[0]) == 26
+    nodes = docs.select(J._node(common)(F.col("_text")).alias("p")).select("p.*")
+    assert J._keyed(nodes).count() == 0
+
+
+def test_any_order_keeps_similar_pairs():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 30, 400):
+        for _ in range(30):
+            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.92], rng.integers(0, 2**63, max(1, n // 12)).astype(np.uint64)]))
+            common = np.unique(rng.choice(np.concatenate([a, b]), n))
+            common = common, rng.permutation(len(common))
+            if len(b) and J.similar(a, b):
+                assert len(np.intersect1d(J.prefix(a, common), J.prefix(b, common)))
+
+
+def test_group_pairs_compare_wide_sketches():
+    """All pairs of a key by brute force, among them long unlike sets that 512 bits can't tell apart."""
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (300, 400, 450, 500, 520, 600, 3000, 3000, 4000, 4090, 4100, 5000)]
+    sets += [np.unique(np.concatenate([s[: -len(s) // 20], rng.integers(0, 2**63, 9).astype(np.uint64)])) for s in sets]
+    sets.sort(key=len)
+    sizes, labels = np.array(list(map(len, sets))), np.arange(len(sets))
+    i, j = J.group_pairs(sizes, [J.wide(s) for s in sets], labels, np.zeros(len(sets), np.int64), 2)
+    far = lambda a, b: 9 * J.apart(J.wide(a), J.wide(b)) <= len(a) + len(b) and 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b))
+    want = {(x, y) for x in labels.tolist() for y in range(x) if far(sets[x], sets[y])}
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == want and len(want) < 20
