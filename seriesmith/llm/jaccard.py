@@ -1,11 +1,13 @@
 """Near-dedup by SimHash fingerprints with Golay-code keys, made complete to all pairs of Jaccard similarity 0.8 or more.
 
 A document is its set of 5-word shingle hashes (64 bits); equal sets are one node. Nodes get a SimHash fingerprint of their
-set. Fingerprints that share a Golay key are linked as in simhash, and the links are candidates, verified by shared shingles.
-What they join is the start of the components.
+set, of 64 bits in three segments, and its keys are the indices of Golay codewords near two of them: all fingerprints within
+five bits share one, and many that are further apart. Under each key a fingerprint meets the nearest of at most WINDOW before
+it that differs in NEAR_BITS at most; such pairs are candidates, verified by shared shingles. What they join is the start of
+the components.
 
 Sets of similarity 0.8 differ in about ten of 64 fingerprint bits, so fingerprints alone can't find them all (the README has
-figures). The rest is found exactly by a prefix filter: of each set the first hashes of one order are keys, so many that two
+figures). The rest, what WINDOW leaves out too, is found exactly by a prefix filter: of each set the first hashes of one order are keys, so many that two
 sets of similarity 0.8 share one, and no such pair is missed. The order puts hashes that are common in a sample of documents
 last, the commonest at the very end; any order is exact, this one leaves few keys with many nodes. Keys are dealt in passes,
 so that a pass's shuffle is a part of all keys. Only pairs that aren't in one component yet are looked at: by their sizes,
@@ -34,11 +36,13 @@ from pyspark.sql import types as T
 
 from seriesmith.llm.common import boxed, discard, in_slices, join_small, materialize
 from seriesmith.llm.components import components
-from seriesmith.llm.simhash import LOWER, SEED, fingerprint, links
+from seriesmith.llm.simhash import LOWER, SEED, SEGMENTS, fingerprint, wide_keys
 
 SHINGLE = 5
 #: Bits of a parity sketch at least, and nodes up to which a key gives all pairs at once.
 SKETCH, FEW = 512, 8
+#: Bits in which the fingerprints of candidates differ at most, and fingerprints of a key that each one is compared with.
+NEAR_BITS, WINDOW = 12, 1024
 #: More than any distance.
 FAR = 1 << 62
 #: Nodes of a key's block.
@@ -354,14 +358,46 @@ def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], len(hashes) - 1 - order
 
 
+def _golay_keys(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column("fp").to_numpy()
+            for at in range(0, len(values), 10_000):
+                part = values[at : at + 10_000]
+                row, key = wide_keys(part, k)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[row])], names=["key", "fp"])
+
+    return keys
+
+
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, fp) in order to pairs (u, v): a fingerprint and the nearest before it under the key."""
+    for table, _ in _whole_keys(batches, ("key",)):
+        keys, fps = table.column("key").to_numpy(), table.column("fp").to_numpy()
+        bits = fps.view(np.uint64)
+        best, other = np.full(len(fps), NEAR_BITS + 1), np.zeros(len(fps), np.int64)
+        for d in range(1, min(WINDOW + 1, len(keys))):
+            at = np.flatnonzero(keys[d:] == keys[:-d])
+            if not len(at):
+                break
+            far = np.bitwise_count(bits[at + d] ^ bits[at]).astype(np.int64)
+            nearer = far < best[at + d]
+            best[at[nearer] + d], other[at[nearer] + d] = far[nearer], at[nearer]
+        found = np.flatnonzero(best <= NEAR_BITS)
+        pairs = np.unique(np.sort(np.stack([fps[found], fps[other[found]]], axis=1), axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+
 def _golay_pairs(nodes: DataFrame) -> DataFrame:
-    """Candidates (a, b): nodes with equal fingerprints, and those whose fingerprints simhash links by their Golay keys."""
+    """Candidates (a, b): nodes with equal fingerprints, and those whose fingerprints are near by their Golay keys."""
     firsts = materialize(nodes.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
     first = lambda end: firsts.select(F.col("fp").alias(f"_{end}"), F.col("first").alias(end))
-    equal = nodes.select("fp", "node").join(first("a"), F.col("fp") == F.col("_a")).select("a", F.col("node").alias("b"))
-    near = links(firsts.select("fp")).join(first("a"), F.col("u") == F.col("_a")).join(first("b"), F.col("v") == F.col("_b"))
-    pairs = equal.union(near.select("a", "b")).filter("a != b")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = nodes.select("fp", "node").join(first("a"), F.col("fp") == F.col("_a")).select("a", F.col("node").alias("b"))
+    for k in range(len(SEGMENTS)):
+        keyed = firsts.select("fp").mapInArrow(_golay_keys(k), "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
+        near = materialize(keyed.mapInArrow(_nearest, "u long, v long").distinct(), "near")
+        pairs = pairs.union(near.join(first("a"), F.col("u") == F.col("_a")).join(first("b"), F.col("v") == F.col("_b")).select("a", "b"))
+    return pairs.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _keyed(nodes: DataFrame) -> DataFrame:

@@ -122,6 +122,24 @@ def golay_keys(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def wide_keys(values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) for the wider radius: pairs of indices of near codewords of segment k and of the next. Of three segments with
+    five errors at most two have two each at most, so fingerprints that differ in up to five bits share a key for some k;
+    further ones often do, as codewords are shared by many words that differ in more than two bits."""
+    bits = values.view(np.uint64)
+    starts, errors = _near_errors()
+    of = []
+    for low, width in (SEGMENTS[k], SEGMENTS[(k + 1) % 3]):
+        part = ((bits >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.int64)
+        s = _syndrome(part)
+        of.append((part, starts[s], starts[s + 1] - starts[s]))
+    (one, first, n), (two, second, m) = of
+    row = np.repeat(np.arange(len(values)), n * m)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(n * m) - n * m, n * m)
+    x, y = (_message(part[row] ^ errors[begin[row] + i]) for part, begin, i in ((one, first, at // m[row]), (two, second, at % m[row])))
+    return row, (k << 24) | (x << 12) | y
+
+
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         values = batch.column("fp").to_numpy()

@@ -2,11 +2,13 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from seriesmith.llm import jaccard as J
+from seriesmith.llm import simhash as S
 from seriesmith.llm.common import shared_dir
 
 
@@ -99,6 +101,39 @@ def test_the_stage_drops_copies_with_some_edits(spark, table):
     assert P.near_stage(spark, docs.limit(0), "").count() == 0
 
 
+def edited_documents(groups=6):
+    """Pairs of 400 words that differ in one."""
+    texts = [[f"g{g}w{k}" for k in range(400)] for g in range(groups)]
+    return [(2 * g + k, " ".join([*t[:200], f"x{k}", *t[201:]])) for g, t in enumerate(texts) for k in range(2)]
+
+
+def test_golay_keys_link_without_the_prefix_filter(spark, table, monkeypatch):
+    monkeypatch.setattr(J, "_keyed", lambda nodes: spark.createDataFrame([], J.MET))
+    rows = edited_documents()
+    got = {r["doc_id"]: r["component_id"] for r in J.near_dedup(table(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) and set(got.values()) == set(range(0, 12, 2))
+
+
+def test_wide_keys_meet_within_five_bits():
+    rng = np.random.default_rng(2)
+    one = rng.integers(-(2**63), 2**63 - 1, 200)
+    two = one.copy()
+    for i in range(len(two)):
+        for bit in rng.choice(64, 5, replace=False):
+            two[i] ^= np.array([1 << int(bit)], np.uint64).view(np.int64)[0]
+    met = set()
+    for k in range(3):
+        mine, others = (set(zip(*(x.tolist() for x in S.wide_keys(v, k)), strict=True)) for v in (one, two))
+        met |= {row for row, _ in mine & others}
+    assert met == set(range(200))
+
+
+def test_the_nearest_under_a_key():
+    """Under key 1 the third is two bits from the first; under 2 the two are too far apart."""
+    batches = [pa.record_batch({"key": pa.array([1, 1], pa.int64()), "fp": pa.array([0, 2**40 - 1], pa.int64())}), pa.record_batch({"key": pa.array([1, 2, 2], pa.int64()), "fp": pa.array([3, 5, 2**50 - 1], pa.int64())})]
+    assert [tuple(r.values()) for b in J._nearest(iter(batches)) for r in b.to_pylist()] == [(0, 3)]
+
+
 def test_the_stage_deletes_its_work_tables(spark, table):
     """Only what the result is read from stays on disk: rows, ids, components, and small tables of links."""
     folder = f"{shared_dir(spark).removeprefix('file:')}/seriesmith"
