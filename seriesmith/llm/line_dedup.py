@@ -136,11 +136,11 @@ def extend(mine: bytes, at: int, first: bytes, first_at: int) -> tuple[int, int]
 
 def further(context: bytes, at: int, words: list[int], before: int, behind: int, left: int, right: int, min_words: int) -> list[tuple[bytes, int, int]]:
     """The next groups of a position, (name, lines of the shared run before and behind it): on each side where its context
-    goes on behind the match, unless the run is more than a window holds."""
+    goes on behind the match, unless the run is more than a window holds. Their runs are longer than the group's own."""
     out = []
     for a, b in ((left + 1, behind), (before, right + 1)):
         low, high = at - a, at + b
-        if low >= 0 and high < len(words) and min(sum(words[low:high]), sum(words[low + 1 : high + 1])) < min_words:
+        if a + b > before + behind and low >= 0 and high < len(words) and min(sum(words[low:high]), sum(words[low + 1 : high + 1])) < min_words:
             run = context[low * HASH : high * HASH + HASH]
             out.append((hashlib.blake2b(a.to_bytes(4, "big") + run, digest_size=HASH).digest(), a, b))
     return out

@@ -129,3 +129,10 @@ def test_edges(table):
     assert L.clean(docs.limit(0)).count() == 0 and L.clean(docs.withColumn("first", F.lit(1))).columns == ["doc_id", "text", "first"]
     clash = docs.withColumns({c: F.lit(1) for c in ("_row", "_id", "_lines", "_text", "runs", "_box")})
     assert L.clean(clash).columns == clash.columns and L.clean(clash).count() == 5
+
+
+def test_next_groups_share_more():
+    """A run that is no longer than the group's gives no group, or rounds would not end."""
+    context, words = b"".join(bytes([x]) * L.HASH for x in b"abcde"), [1] * 5
+    assert {g[1:] for g in L.further(context, 2, words, 1, 1, 1, 1, 10)} == {(2, 1), (1, 2)}
+    assert L.further(context, 2, words, 1, 1, 0, 0, 10) == []
