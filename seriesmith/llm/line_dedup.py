@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesmith.llm.common import boxed, in_slices, join_small, materialize, without
+from seriesmith.llm.common import SMALL_BATCHES, boxed, in_slices, join_small, materialize, without
 
 MIN_WORDS = 50
 #: Positions of a group that one task may hold.
@@ -231,20 +231,25 @@ def _recurring(positions: DataFrame) -> DataFrame:
 def _positions(lined: DataFrame) -> DataFrame:
     """Positions of fingerprints that recur: group, _row, order, place, context, at (the place in it), words,
     before and behind (the lines that the group shares around it), n (the group's positions)."""
-    hashes, ends = F.col("_lines.hashes"), F.arrays_zip("_lines.place", "_lines.low", "_lines.high")
-    of = F.substring(hashes, F.col("p.place") * HASH + 1, F.lit(HASH))
-    prints = lined.select("_row", "_lines", F.explode(ends).alias("p")).select("_row", of.alias("group"), "p")
+    hashes, words = F.col("_lines.hashes"), F.col("_lines.words")
+
+    def of(p: Column) -> Column:
+        return F.substring(hashes, p["place"] * HASH + 1, F.lit(HASH)).alias("group")
+
+    def whole(p: Column) -> Column:
+        size = p["high"] - p["low"] + 1
+        context, own = F.substring(hashes, p["low"] * HASH + 1, size * HASH).alias("context"), F.slice(words, p["low"] + 1, size).alias("words")
+        return F.struct(of(p), p["place"].alias("place"), context, (p["place"] - p["low"]).alias("at"), own, p["n"].alias("n"))
+
+    # what is taken from a document's lines is taken before they are exploded, or each row would hold all of them
+    ends = F.arrays_zip("_lines.place", "_lines.low", "_lines.high")
+    prints = lined.select("_row", F.explode(F.transform(ends, lambda p: F.struct(of(p), p.alias("p")))).alias("q")).select("_row", "q.*")
     hits = prints.join(_recurring(prints).hint("merge"), F.col("group") == F.col("_group")).select("_row", F.struct("p.*", "n").alias("p"))
     hits = materialize(hits.groupBy(F.col("_row").alias("_of")).agg(F.collect_list("p").alias("prints")), "hits")  # fewer than the document's lines
     held = join_small(lined.select("_row", "_id", "_lines"), hits, F.col("_row") == F.col("_of"))
-    held = held.select("_row", "_id", "_lines", F.explode("prints").alias("p"))
-    size = F.col("p.high") - F.col("p.low") + 1
-    return held.select(
-        of.alias("group"), "_row", F.col("p.place").alias("place"),
-        F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"), F.col("p.place").alias("place")).alias("order"),
-        F.substring(hashes, F.col("p.low") * HASH + 1, size * HASH).alias("context"), (F.col("p.place") - F.col("p.low")).alias("at"),
-        F.slice(F.col("_lines.words"), F.col("p.low") + 1, size).alias("words"), F.lit(0).alias("before"), F.lit(0).alias("behind"), F.col("p.n").alias("n"),
-    )
+    held = held.select("_row", "_id", F.explode(F.transform("prints", whole)).alias("q")).select("_row", "_id", "q.*")
+    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"), "place").alias("order")
+    return held.select("group", "_row", "place", order, "context", "at", "words", F.lit(0).alias("before"), F.lit(0).alias("behind"), "n")
 
 
 def repeated_runs(lined: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -253,7 +258,7 @@ def repeated_runs(lined: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     match_first, solved, runs = _match_udf(min_words), _rounds(min_words), []
     while True:
         small = positions.filter(F.col("n") <= GROUP).repartition("group").sortWithinPartitions("group", "order")
-        runs.append(materialize(small.mapInArrow(solved, "_row long, first int, last int"), "runs"))
+        runs.append(materialize(small.mapInArrow(solved, "_row long, first int, last int"), "runs", SMALL_BATCHES))
         large = positions.filter(F.col("n") > GROUP)
         if large.isEmpty():
             break
@@ -262,7 +267,7 @@ def repeated_runs(lined: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         met = large.join(firsts.hint("merge"), F.col("group") == F.col("_of"))
         met = met.withColumn("m", match_first("context", "at", "words", "before", "behind", "lead.context", "lead.at"))
         met = met.withColumn("again", (F.col("order") != F.col("lead.order")) & (F.col("m.words") >= min_words))
-        matched = materialize(met.filter("again OR size(m.more) > 0").drop("group", "before", "behind", "n", "lead", "_of"), "matched")
+        matched = materialize(met.filter("again OR size(m.more) > 0").drop("group", "before", "behind", "n", "lead", "_of"), "matched", SMALL_BATCHES)
         runs.append(matched.filter("again").select("_row", (F.col("place") - F.col("m.left")).alias("first"), (F.col("place") + F.col("m.right")).alias("last")))
         rest = matched.select(F.explode("m.more").alias("g"), "_row", "place", "order", "context", "at", "words").select("g.*", "_row", "place", "order", "context", "at", "words")
         rest = rest.join(_recurring(rest.select("group")).hint("merge"), F.col("group") == F.col("_group")).drop("_group")
@@ -275,11 +280,12 @@ def _cleaned(docs: DataFrame, text: str, doc_id: str, min_words: int) -> DataFra
     others = without(docs.columns, [text])
     split = _lines_udf(min_words)(F.col(text)).alias("_lines")
     lined = docs.select(*boxed(others), F.col(doc_id).alias("_id"), F.col(text).alias("_text"), split, F.monotonically_increasing_id().alias("_row"))
-    lined = materialize(lined, "lines")
+    lined = materialize(lined, "lines", SMALL_BATCHES)
     runs = repeated_runs(lined.select("_row", "_id", "_lines"), min_words).select(F.col("_row").alias("_of"), "runs")
     joined = join_small(lined, materialize(runs, "runs"), F.col("_row") == F.col("_of"), "left")
-    cleaned = without_lines(F.col("_text"), F.col("_lines.at"), F.col("runs"))
-    return joined.withColumn("_text", F.when(F.col("runs").isNotNull(), cleaned).otherwise(F.col("_text")))
+    some = F.col("runs").isNotNull()  # other texts aren't sent to Python
+    cleaned = without_lines(F.when(some, F.col("_text")), F.when(some, F.col("_lines.at")), F.col("runs"))
+    return joined.withColumn("_text", F.when(some, cleaned).otherwise(F.col("_text")))
 
 
 def _columns(columns: list[str], text: str) -> list[Column]:

@@ -131,6 +131,21 @@ def test_edges(table):
     assert L.clean(clash).columns == clash.columns and L.clean(clash).count() == 5
 
 
+def test_few_texts_are_sent_to_python_at_once(table, monkeypatch):
+    """Up to a thousand, whatever Spark's setting is, and at the end only those that lose lines."""
+    in_slices = L.in_slices
+
+    def counted(made, texts, *columns):
+        assert len(texts) - texts.null_count <= 1000, "too many texts at once"
+        return in_slices(made, texts, *columns)
+
+    monkeypatch.setattr(L, "in_slices", counted)
+    passage = "again " * 60
+    rows = [(i, f"own {i}\n{passage}" if i % 50 == 0 else f"own {i}") for i in range(2500)]
+    got = L.dedup_lines(table(rows, "doc_id long, text string").coalesce(1)).orderBy("doc_id").collect()
+    assert [r["text"] for r in got] == [rows[0][1]] + [f"own {i}" for i in range(1, 2500)]
+
+
 def test_next_groups_share_more():
     """A run that is no longer than the group's gives no group, or rounds would not end."""
     context, words = b"".join(bytes([x]) * L.HASH for x in b"abcde"), [1] * 5
