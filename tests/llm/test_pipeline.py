@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import corpus_pipeline as P
-from seriesmith.llm import packing
+from seriesmith.llm import line_dedup, packing
 from seriesmith.llm.common import materialize, stage_scratch
 from tests.llm.test_jaccard import brute as brute_near
 from tests.llm.test_line_dedup import brute as brute_lines
@@ -116,3 +116,17 @@ def test_stages_send_few_texts_to_python_at_once(spark):
     with stage_scratch():
         assert most() <= 1000
     assert spark.conf.get(name) == before and most() == 5000
+
+
+def test_line_stage_sends_few_texts_at_once(spark, monkeypatch):
+    """Whoever writes the stage's rows, under whatever settings, at most a thousand texts are sent to Python at once."""
+    in_slices = line_dedup.in_slices
+
+    def counted(made, texts, *columns):
+        assert len(texts) - texts.null_count <= 1000, "too many texts at once"
+        return in_slices(made, texts, *columns)
+
+    monkeypatch.setattr(line_dedup, "in_slices", counted)
+    docs = spark.range(2500).coalesce(1).select(F.col("id").alias("doc_id"), F.concat_ws("\n", F.concat(F.lit("own "), "id"), F.when(F.col("id") % 50 == 0, F.lit("again " * 60))).alias("text"))
+    got = P.line_stage(spark, docs, "").orderBy("doc_id").collect()
+    assert got[0]["text"].endswith("again ") and [r["text"] for r in got[1:]] == [f"own {i}" for i in range(1, 2500)]
