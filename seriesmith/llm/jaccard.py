@@ -8,8 +8,10 @@ the components.
 
 Sets of similarity 0.8 differ in about ten of 64 fingerprint bits, so fingerprints alone can't find them all (the README has
 figures). The rest, what WINDOW leaves out too, is found exactly by a prefix filter: of each set the first hashes of one order are keys, so many that two
-sets of similarity 0.8 share one, and no such pair is missed. The order puts hashes that are common in a sample of documents
-last, the commonest at the very end; any order is exact, this one leaves few keys with many nodes. Keys are dealt in passes,
+sets of similarity 0.8 share one, and no such pair is missed. Any order is exact; this one leaves few keys with many nodes, also
+where the table grows: hashes go by the number of rows that have them, which is counted over the whole table, and those that
+are common in a sample of documents come last, the commonest at the very end, and aren't counted. For the counts the upper
+bits of all hashes are dealt by their value as arrays; hashes that no other row has are no keys. Keys are dealt in passes,
 so that a pass's shuffle is a part of all keys. Only pairs that aren't in one component yet are looked at: by their sizes,
 then by parity sketches with a bit for each hash at least, whose bits differ at no more places than the sets do, so that
 both filters drop only pairs below 0.8; what they leave is verified by shared shingles. So that large groups of copies don't
@@ -49,19 +51,24 @@ FAR = 1 << 62
 BLOCK = 8192
 #: Parts of the keys that are dealt one after the other.
 PASSES = 4
+#: Hashes of a part in which they are counted, hashes that a task holds while it deals them, and bits of a row's place in a piece.
+PART_HASHES, HELD_HASHES, PLACE = 1 << 19, 1 << 21, 11
 #: Documents of which common hashes are learned, the fewest of them that have one, and the most such hashes.
 SAMPLE, COMMON, MOST_COMMON = 20_000, 3, 200_000
 MET = "key long, a long, b long, n long"
+DEALT = "part long, piece long, places binary, marks binary"
+COUNTED = "piece long, places binary, marks binary, counts binary"
 NODE = T.StructType(
     [
         T.StructField("node", T.LongType()),
         T.StructField("size", T.LongType()),
+        T.StructField("others", T.LongType()),
         T.StructField("fp", T.LongType()),
         T.StructField("keys", T.ArrayType(T.LongType())),
         T.StructField("wide", T.BinaryType()),
     ]
 )
-_ARROW = pa.struct([("node", pa.int64()), ("size", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("wide", pa.binary())])
+_ARROW = pa.struct([("node", pa.int64()), ("size", pa.int64()), ("others", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("wide", pa.binary())])
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -80,16 +87,26 @@ def node_of(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes(), SEED)).view(np.int64))
 
 
+def first_keys(n: int | np.ndarray) -> int | np.ndarray:
+    """How many hashes of a set of n are keys: one that is similar shares four fifths of it at least, so one of these."""
+    return n - (4 * n + 4) // 5 + 1
+
+
+def known(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Which hashes are common, and the places of these. common: hashes in order and their ranks."""
+    if common is None or not len(common[0]):
+        return np.zeros(len(hashes), bool), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(common[0], hashes), len(common[0]) - 1)
+    found = common[0][at] == hashes
+    return found, at[found]
+
+
 def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-    """A set shares four fifths of itself at least with one that is similar, so one of these. common: hashes in order and
-    their ranks; they come after all others, by rank."""
-    n = len(hashes)
-    keep = n - (4 * n + 4) // 5 + 1
-    if common is not None and len(common[0]):
-        at = np.minimum(np.searchsorted(common[0], hashes), len(common[0]) - 1)
-        known = common[0][at] == hashes
-        hashes = np.concatenate([hashes[~known], hashes[known][np.argsort(common[1][at[known]])]])
-    return hashes[:keep]
+    """The first hashes, common ones after all others, by rank."""
+    found, at = known(hashes, common)
+    if len(at):
+        hashes = np.concatenate([hashes[~found], hashes[found][np.argsort(common[1][at])]])
+    return hashes[: first_keys(len(hashes))]
 
 
 def sketch(hashes: np.ndarray, bits: int = SKETCH) -> bytes:
@@ -118,11 +135,16 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _node(common: tuple[np.ndarray, np.ndarray]) -> Callable[[Column], Column]:
+    """others: hashes that aren't common. Where they are fewer than the keys, all of them are keys, and so are the first common
+    ones; else there are none here, see _rare_keys()."""
+
     def nodes_of(texts: pa.Array) -> pa.Array:
         rows = []
         for t in texts.cast(pa.binary()).to_pylist():
             h = shingle_set(t or b"")
-            rows.append({"node": node_of(h), "size": len(h), "fp": fingerprint(h), "keys": prefix(h, common).view(np.int64), "wide": wide(h)})
+            others = len(h) - int(known(h, common)[0].sum())
+            keys = prefix(h, common) if others < first_keys(len(h)) else h[:0]
+            rows.append({"node": node_of(h), "size": len(h), "others": others, "fp": fingerprint(h), "keys": keys.view(np.int64), "wide": wide(h)})
         return pa.array(rows, _ARROW)
 
     @F.arrow_udf(NODE)
@@ -358,6 +380,117 @@ def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], len(hashes) - 1 - order
 
 
+def _dealt(common: tuple[np.ndarray, np.ndarray], bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (_row, _text) to DEALT: of the hashes that aren't common, those with the leading bits part, as the next 32 bits and
+    the places of their rows in a piece, which is a run of rows."""
+
+    def pieces(rows: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int, bytes, bytes]]:
+        hashes, of = np.concatenate(sets), np.repeat(np.array(rows, np.int64), [len(x) for x in sets])
+        order = np.lexsort((hashes, of >> PLACE))
+        hashes, of = hashes[order], of[order]
+        part, piece = (hashes >> np.uint64(64 - bits)).astype(np.int64), of >> PLACE
+        places, marks = (of & ((1 << PLACE) - 1)).astype(np.uint16), (hashes >> np.uint64(32 - bits)).astype(np.uint32)
+        cuts = np.flatnonzero((np.diff(part) != 0) | (np.diff(piece) != 0)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(hashes)], strict=True):
+            if a < b:
+                yield int(part[a]), int(piece[a]), places[a:b].tobytes(), marks[a:b].tobytes()
+
+    def batch_of(rows: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        columns = list(zip(*pieces(rows, sets), strict=True)) or [[], [], [], []]
+        kinds = pa.int64(), pa.int64(), pa.binary(), pa.binary()
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "piece", "places", "marks"])
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[int] = []
+        sets: list[np.ndarray] = []
+        held = 0
+        for batch in batches:
+            for row, text in zip(batch.column("_row").to_pylist(), batch.column("_text").cast(pa.binary()), strict=True):
+                h = shingle_set(text.as_py() or b"")
+                h = h[~known(h, common)[0]]
+                rows.append(row), sets.append(h)
+                held += len(h)
+                if held > HELD_HASHES:
+                    yield batch_of(rows, sets)
+                    rows, sets, held = [], [], 0
+        if rows:
+            yield batch_of(rows, sets)
+
+    return dealt
+
+
+def _joined_bytes(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The arrays of a column of bytes as one, and their lengths."""
+    parts = column.to_pylist()
+    return np.frombuffer(b"".join(parts), kind), np.array([len(x) // np.dtype(kind).itemsize for x in parts], np.int64)
+
+
+def _counted(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """DEALT in the order of parts to COUNTED: the hashes that two rows have at least, without their lowest bits, and their counts."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _whole_keys(batches, ("part",)):
+            for low, high in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                some = table.slice(low, high - low)
+                marks, lengths = _joined_bytes(some.column("marks"), np.uint32)
+                places, _ = _joined_bytes(some.column("places"), np.uint16)
+                _, of, counts = np.unique(marks, return_inverse=True, return_counts=True)
+                counts = counts[of].astype(np.uint32)
+                shared = counts > 1
+                top = np.uint64(some.column("part")[0].as_py() << (64 - bits))
+                marks = top | (marks.astype(np.uint64) << np.uint64(32 - bits))
+                ends = np.cumsum(lengths)
+                columns = [[x[a:b][shared[a:b]].tobytes() for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)] for x in (places, marks, counts)]
+                yield pa.RecordBatch.from_arrays([some.column("piece").combine_chunks(), *(pa.array(c, pa.binary()) for c in columns)], names=["piece", "places", "marks", "counts"])
+
+    return counted
+
+
+def _rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """COUNTED and rows (piece, place, size, others) in the order of pieces to (row, keys): of each of these rows the hashes
+    that are among its first, and that another row has. Hashes that none has come before them."""
+    for table, starts in _whole_keys(batches, ("piece",)):
+        for low, high in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            some = table.slice(low, high - low)
+            heads, some = some.filter(some.column("place").is_valid()), some.filter(some.column("place").is_null())
+            left = np.zeros(1 << PLACE, np.int64)
+            size, others = heads.column("size").to_numpy(), heads.column("others").to_numpy()
+            left[heads.column("place").to_numpy()] = first_keys(size) - others
+            asked = np.zeros(1 << PLACE, bool)
+            asked[heads.column("place").to_numpy()] = True
+            (places, _), (marks, _), (counts, _) = (_joined_bytes(some.column(c), k) for c, k in (("places", np.uint16), ("marks", np.uint64), ("counts", np.uint32)))
+            order = np.lexsort((marks, counts, places))
+            places, marks = places[order].astype(np.int64), marks[order]
+            shared = np.bincount(places, minlength=1 << PLACE)
+            nth = np.arange(len(places)) - (np.cumsum(shared) - shared)[places]
+            again = np.zeros(len(places), bool)
+            again[1:] = (np.diff(places) == 0) & (marks[1:] == marks[:-1])
+            taken = np.flatnonzero(asked[places] & (nth < (left + shared)[places]) & ~again)
+            row = (some.column("piece")[0].as_py() << PLACE) + places[taken] if len(taken) else places[taken]
+            cuts = np.flatnonzero(np.diff(row)) + 1
+            keys = np.split(marks[taken].view(np.int64), cuts) if len(taken) else []
+            yield pa.RecordBatch.from_arrays([pa.array(row[np.concatenate(([0], cuts))] if len(taken) else row, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["row", "keys"])
+
+
+def _rare_keys(nodes: DataFrame, texts: DataFrame, common: tuple[np.ndarray, np.ndarray], hashes: int) -> DataFrame:
+    """nodes with their keys. Of all keys the lowest bits are left out, which can only give a key more nodes. hashes: the
+    number of all rows' hashes; texts: _row, _text of all rows."""
+    bits = min(24, max(1, (hashes // PART_HASHES).bit_length()))
+    parts = texts.select("_row", "_text").mapInArrow(_dealt(common, bits), DEALT).repartition("part").sortWithinPartitions("part")
+    counted = materialize(parts.mapInArrow(_counted(bits), COUNTED), "counted")
+    many = F.col("others") >= F.col("size") - F.floor((4 * F.col("size") + 4) / 5) + 1
+    row = F.col("lead.row")
+    heads = nodes.filter(many).select(F.shiftright(row, PLACE).alias("piece"), F.pmod(row, F.lit(1 << PLACE)).alias("place"), "size", "others")
+    both = counted.unionByName(heads, allowMissingColumns=True).repartition("piece").sortWithinPartitions("piece")
+    chosen = materialize(both.mapInArrow(_rarest, "row long, keys array<long>"), "chosen").select("row", F.col("keys").alias("rare"))
+    upper = F.transform("keys", lambda k: k.bitwiseAND(F.lit(-1 << (32 - bits))))
+    keys = F.coalesce("rare", F.array_distinct(upper)).alias("keys")
+    found = nodes.join(chosen.hint("merge"), F.col("lead.row") == F.col("row"), "left").select("node", "lead", "size", "fp", keys, "wide")
+    found = materialize(found, "nodes")
+    discard(counted, chosen)
+    return found
+
+
 def _golay_keys(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -422,13 +555,17 @@ def _joined(roots: DataFrame, found: DataFrame) -> DataFrame:
 
 def _grouped(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """prints with stay (doc_id, row): the row that stays of its component. rows: _row, _id (not null), _text."""
-    prints = rows.select("_row", F.col("_id").alias("doc_id"), _node(_common(rows))(F.col("_text")).alias("p"))
+    common = _common(rows)
+    prints = rows.select("_row", F.col("_id").alias("doc_id"), _node(common)(F.col("_text")).alias("p"))
     prints = materialize(prints.select("_row", "doc_id", "p.*"), "sets-of")
     ids = materialize(prints.select("_row", "doc_id", "node"), "ids")
     leads = materialize(ids.groupBy("node").agg(F.min(F.struct("doc_id", F.col("_row").alias("row"))).alias("lead")).select("lead", F.col("lead.row").alias("_first")), "leads")
-    nodes = materialize(join_small(prints, leads, F.col("_row") == F.col("_first")).select("node", "lead", "size", "fp", "keys", "wide"), "nodes")
+    sets = materialize(join_small(prints, leads, F.col("_row") == F.col("_first")).select("node", "lead", "size", "others", "fp", "keys", "wide"), "nodes")
+    hashes = prints.agg(F.sum("size")).first()[0] or 0
     discard(prints, leads)
     texts = rows.select("_row", "_text")
+    nodes = _rare_keys(sets, texts, common, hashes)
+    discard(sets)
     done, found = _checked(_golay_pairs(nodes), None, nodes, texts)
     roots = materialize(components(found), "roots")
     met = _keyed(nodes)

@@ -179,3 +179,44 @@ def test_group_pairs_compare_wide_sketches():
     far = lambda a, b: 9 * J.apart(J.wide(a), J.wide(b)) <= len(a) + len(b) and 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b))
     want = {(x, y) for x in labels.tolist() for y in range(x) if far(sets[x], sets[y])}
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == want and len(want) < 20
+
+
+def test_hashes_that_the_sample_misses_are_no_keys(table, monkeypatch):
+    """Unlike documents, twenty to a passage: a sample of about ten of 200 can't know the passages, and each was a crowded key.
+    Pairs of near copies among them are found all the same."""
+    monkeypatch.setattr(J, "SAMPLE", 10)
+    keyed, crowded = J._keyed, []
+
+    def counted(nodes):
+        met = keyed(nodes)
+        crowded.append(met.filter("b IS NULL").count())
+        return met
+
+    monkeypatch.setattr(J, "_keyed", counted)
+    words = [[f"d{i}w{k}" for k in range(150)] + [f"p{i % 10}w{k}" for k in range(60)] for i in range(200)]
+    words += [[*w[:70], "x", *w[71:]] for w in words[:30]] + [[*w[:9], "y", *w[10:50], "z", "z", *w[52:]] for w in words[20:40]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(words)]
+    got = {r["doc_id"]: r["component_id"] for r in J.near_dedup(table(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) and len(set(got.values())) == 200
+    assert crowded == [0]
+
+
+@pytest.mark.parametrize(("part", "held"), [(J.PART_HASHES, J.HELD_HASHES), (500, 3000)])
+def test_rare_keys_are_the_first_by_count(table, monkeypatch, part, held):
+    monkeypatch.setattr(J, "PART_HASHES", part)
+    monkeypatch.setattr(J, "HELD_HASHES", held)
+    texts = [(300 * i, t) for i, (_, t) in enumerate(documents(groups=4))]
+    sets = [J.shingle_set((t or "").encode()) for _, t in texts]
+    every, counts = np.unique(np.concatenate(sets), return_counts=True)
+    most = every[counts == counts.max()]
+    common = (most, np.arange(len(most)))
+    rows = table(texts, "_row long, _text string").repartition(3)
+    nodes = rows.select(F.struct(F.col("_row").alias("doc_id"), F.col("_row").alias("row")).alias("lead"), J._node(common)(F.col("_text")).alias("p")).select("lead", "p.*")
+    got = {r["lead"]["row"]: r["keys"] for r in J._rare_keys(nodes, rows, common, sum(map(len, sets))).collect()}
+    bits = max(1, (sum(map(len, sets)) // part).bit_length())
+    n = dict(zip(every.tolist(), counts.tolist(), strict=True))
+    last = {x: k for k, x in enumerate(most.tolist())}
+    for (i, _), h in zip(texts, sets, strict=True):
+        first = sorted(h.tolist(), key=lambda x: (last.get(x, -1), n[x], x))[: J.first_keys(len(h))]
+        upper = lambda xs: set((np.array(sorted(xs), np.uint64) >> np.uint64(32 - bits) << np.uint64(32 - bits)).view(np.int64).tolist())
+        assert upper(x for x in first if n[x] > 1) <= set(got[i]) <= upper(first), i
