@@ -31,13 +31,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesmith.llm.common import join_small, materialize, table_bytes
+from seriesmith.llm.common import SMALL_BATCHES, join_small, materialize, table_bytes
 
 LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 #: Bits of the histogram's cells beyond those that number the buckets.
 SPARE_BITS = 2
 #: Bytes of texts that a task holds while it collapses rows; beyond it starts a new set of entries.
 HELD_BYTES = 32 << 20
+#: Rows of a batch that a task gives out.
+GIVEN_ROWS = 1000
 #: Bytes of texts in a bucket, at least, and buckets, at most: with more data a bucket has more bytes, which bounds the
 #: directory that the driver builds and each task gets.
 BUCKET_BYTES, MAX_BUCKETS = 1 << 20, 1 << 18
@@ -93,7 +95,7 @@ def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     texts: dict[bytes, int] = {}
     held = 0
 
-    def flush() -> pa.RecordBatch:
+    def flush() -> Iterator[pa.RecordBatch]:
         nonlocal number, held
         best: list[int] = [-1] * len(texts)
         count = [0] * len(texts)
@@ -105,17 +107,19 @@ def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hexes = [d.hexdigest() for d in digests]
         keys = [int.from_bytes(d.digest()[:8], "big", signed=True) for d in digests]
         every, first = list(texts), [True] * len(texts)
-        columns: list[list] = [[], [], [], [], [], [], [], []]
-        for row, e in enumerate(of):
-            lead, first[e] = first[e], False
-            values = (ids[row], number + e, keys[e], hexes[e], best[e] == row, count[e] if lead else None, ids[best[e]] if lead else None, every[e] if lead else None)
-            for column, value in zip(columns, values, strict=True):
-                column.append(value)
+        schema = _arrow(ENTRIES)
+        for low in range(0, len(of), GIVEN_ROWS):
+            columns: list[list] = [[], [], [], [], [], [], [], []]
+            for row in range(low, min(low + GIVEN_ROWS, len(of))):
+                e = of[row]
+                lead, first[e] = first[e], False
+                values = (ids[row], number + e, keys[e], hexes[e], best[e] == row, count[e] if lead else None, ids[best[e]] if lead else None, every[e] if lead else None)
+                for column, value in zip(columns, values, strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
         number += len(texts)
         texts.clear(), ids.clear(), of.clear()
         held = 0
-        schema = _arrow(ENTRIES)
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     for batch in batches:
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
@@ -128,9 +132,9 @@ def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of.append(e)
             held += 40
             if held > HELD_BYTES:
-                yield flush()
+                yield from flush()
     if ids:
-        yield flush()
+        yield from flush()
 
 
 class Directory:
@@ -258,7 +262,7 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     """doc_id, keep_id, group_size, kept and text_sha256 for every row of docs."""
     spark = docs.sparkSession
     pairs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = materialize(pairs.mapInArrow(collapse, ENTRIES), "entries")
+    rows = materialize(pairs.mapInArrow(collapse, ENTRIES), "entries", SMALL_BATCHES)
     entries = rows.filter("n IS NOT NULL").select("key", "entry", "n", "top", "text")
 
     crowds = entries.groupBy(F.col("key").alias("_hot")).agg(F.count(F.lit(1)).alias("crowd")).filter(F.col("crowd") > HOT_ENTRIES)
@@ -266,7 +270,7 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     hot = join_small(entries, crowds, F.col("key") == F.col("_hot"))
     salt = F.pmod(F.xxhash64("entry"), F.ceil(F.sqrt("crowd"))).alias("salt")
     hot = hot.select("key", salt, "entry", "n", "top", "text").repartition("key", "salt").sortWithinPartitions("key", "salt")
-    hot = materialize(hot.mapInArrow(merge, MERGED), "merged")
+    hot = materialize(hot.mapInArrow(merge, MERGED), "merged", SMALL_BATCHES)
     heads = hot.filter("n IS NOT NULL").select("key", F.col("into").alias("entry"), "n", "top", "text")
     entries = join_small(entries, crowds, F.col("key") == F.col("_hot"), "left_anti").unionByName(heads)
 
@@ -277,7 +281,7 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     slots = materialize(slots.coalesce(1), "directory")  # a few rows for each bucket
     owned = entries.join(F.broadcast(slots), _leading(F.col("key"), directory.depth) == F.col("slot"))
     owned = owned.select("owner", "bucket", "key", "entry", "n", "top", "text").repartitionById(owners, F.col("owner")).sortWithinPartitions("bucket", "key")
-    answers = materialize(owned.mapInArrow(chain, ANSWERS), "answers")
+    answers = materialize(owned.mapInArrow(chain, ANSWERS), "answers", SMALL_BATCHES)
     inner = answers.select(F.col("entry").alias("_into"), "keep_id", "group_size", "winner")
     spread = hot.select("entry", "into", "best").join(inner, F.col("into") == F.col("_into"))
     spread = spread.select("entry", "keep_id", "group_size", (F.col("winner") & F.col("best")).alias("winner"))

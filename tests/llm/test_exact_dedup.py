@@ -42,6 +42,26 @@ def test_hot_group_splits_and_flushes(table, monkeypatch):
     check(ROWS, D.dedup(table(ROWS, "doc_id long, text string").repartition(6)).collect())
 
 
+def test_few_rows_at_once(table, monkeypatch):
+    """Batches of texts have a thousand rows at most, to and from Python."""
+
+    def few(made):
+        def checked(batches):
+            def seen(some):
+                for batch in some:
+                    assert batch.num_rows <= 1000, batch.num_rows
+                    yield batch
+
+            yield from seen(made(seen(batches)))
+
+        return checked
+
+    for name in "collapse", "merge", "chain":
+        monkeypatch.setattr(D, name, few(getattr(D, name)))
+    rows = [(i, f"Text {i % 2400}") for i in range(2500)]
+    check(rows, D.dedup(table(rows, "doc_id long, text string").coalesce(1)).collect())
+
+
 def test_merge_keeps_texts_apart():
     import pyarrow as pa
 
