@@ -47,6 +47,9 @@ MIN_WORDS = 50
 GROUP = 4096
 #: Bytes of a line's hash.
 HASH = 16
+#: For the write of the lines, with the texts: a task that writes or reads a row group holds all of it, which with Parquet's
+#: setting of 128 MB is all that a task has.
+LINES_SETTINGS = SMALL_BATCHES | {"parquet.block.size": str(8 << 20), "parquet.page.size": str(256 << 10)}
 _INTS, _PA_INTS = T.ArrayType(T.IntegerType()), pa.list_(pa.int32())
 LINES = T.StructType([T.StructField("at", _INTS), T.StructField("words", _INTS), T.StructField("hashes", T.BinaryType()), T.StructField("place", _INTS), T.StructField("low", _INTS), T.StructField("high", _INTS)])
 FURTHER = T.StructType([T.StructField("group", T.BinaryType()), T.StructField("before", T.IntegerType()), T.StructField("behind", T.IntegerType())])
@@ -280,7 +283,7 @@ def _cleaned(docs: DataFrame, text: str, doc_id: str, min_words: int) -> DataFra
     others = without(docs.columns, [text])
     split = _lines_udf(min_words)(F.col(text)).alias("_lines")
     lined = docs.select(*boxed(others), F.col(doc_id).alias("_id"), F.col(text).alias("_text"), split, F.monotonically_increasing_id().alias("_row"))
-    lined = materialize(lined, "lines", SMALL_BATCHES)
+    lined = materialize(lined, "lines", LINES_SETTINGS)
     runs = repeated_runs(lined.select("_row", "_id", "_lines"), min_words).select(F.col("_row").alias("_of"), "runs")
     joined = join_small(lined, materialize(runs, "runs"), F.col("_row") == F.col("_of"), "left")
     some = F.col("runs").isNotNull()  # other texts aren't sent to Python

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,6 +147,26 @@ def test_few_texts_are_sent_to_python_at_once(table, monkeypatch):
     assert [r["text"] for r in got] == [rows[0][1]] + [f"own {i}" for i in range(1, 2500)]
 
 
+def test_row_groups_of_lines_are_small(table, monkeypatch):
+    """A task holds a whole row group, so not all of its texts are in one."""
+    materialize, sizes = L.materialize, []
+
+    def measured(df, tag, *settings):
+        made = materialize(df, tag, *settings)
+        if tag == "lines":
+            for path in made.inputFiles():
+                meta = pq.ParquetFile(path.removeprefix("file://")).metadata
+                groups = [meta.row_group(k) for k in range(meta.num_row_groups)]
+                sizes.extend(sum(g.column(c).total_compressed_size for c in range(g.num_columns)) for g in groups)
+        return made
+
+    monkeypatch.setattr(L, "materialize", measured)
+    rng = random.Random(3)
+    rows = [(i, rng.randbytes(15_000).hex()) for i in range(1200)]
+    assert L.clean(table(rows, "doc_id long, text string").coalesce(1)).count() == 1200
+    assert sum(sizes) > 20 << 20 and max(sizes) < 10 << 20
+
+
 def test_next_groups_share_more():
     """A run that is no longer than the group's gives no group, or rounds would not end."""
     context, words = b"".join(bytes([x]) * L.HASH for x in b"abcde"), [1] * 5
