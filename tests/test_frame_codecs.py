@@ -1,6 +1,7 @@
 """Fixed vectors of codecs, padding and metrics, and round trips."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -59,6 +60,29 @@ def test_interpolation(x, codec, expected):
     np.testing.assert_allclose(decoded(x, codec), expected, atol=1e-9)
 
 
+@pytest.mark.parametrize("n", [6000, 6001])
+@pytest.mark.parametrize("step", [2, 3, 60, 100])
+def test_convolved_inverse_distance_is_the_sum_over_keys(n, step):
+    """Small and wide numbers, whole ones far from zero and an outlier, with the last key on the grid of steps and off it."""
+    rng = np.random.default_rng(step)
+    at = C.key_positions(n, step)
+    for x in (rng.integers(1, 51, n), rng.normal(0, 1e5, n), 1e9 + rng.integers(0, 9, n), np.where(np.arange(n) == n // 2 // step * step, 1e12, np.arange(n) % 7), rng.normal(0, 1e300, n)):
+        v = x[at].astype(float)
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            w = 1 / (np.arange(n)[:, None] - at) ** 2.0
+            direct = (w * v).sum(axis=1) / w.sum(axis=1)
+            direct[at] = v
+            np.testing.assert_array_equal(C.round_half_away(C.inverse_distance(at, v, n)), C.round_half_away(direct))
+
+
+def test_whole_frame_of_inverse_distance_takes_seconds():
+    x = np.random.default_rng(0).integers(1, 51, 131072).astype(float)
+    began = time.process_time()
+    payload, error = C.keyed_encode(x, "idw", 0.03)
+    assert time.process_time() - began < 20
+    assert error == 0 and np.array_equal(C.decode(payload, "idw", len(x)), x)
+
+
 def test_fourier():
     payload, _ = C.fft_encode(B)
     np.testing.assert_allclose(C.fft_decode(payload, 12), [1, 1.87201, 2.25, 1, 1.82735, 1.689, 1.82735, 1, 2.75, 1.189, 1, 3.311], atol=2e-5)
