@@ -131,6 +131,17 @@ def test_choice():
     assert C.choose(np.array([3.0]), 0.03)[0] == "constant"
 
 
+def test_choice_keeps_the_frame_itself_within_the_bound():
+    """Not only the padded frame of a Fourier series, and no polynomial whose rounding loses small numbers."""
+    rng, chosen = np.random.default_rng(1), set()
+    frames = [np.round(100 + rng.uniform(1, 60) * np.sin(np.arange(512) * rng.uniform(0.2, 2)) + rng.normal(0, rng.uniform(0, 14), 512), 2) + 1000 * (k % 2) for k in range(120)]
+    for x in (*frames, np.tile([1e-7, 2e-7, 5e-7, 3e-7], 200) + np.arange(800) * 1e-9):
+        codec, payload, error = C.choose(x, 0.03)
+        chosen.add(codec)
+        assert error <= 0.03 and C.mape(x, C.decode(payload, codec, len(x))) <= 0.03
+    assert "fft" in chosen
+
+
 def test_ladder():
     counts = list(C.rungs(C.default_points(131072), 131072 // 10, 131072 // 100))
     steps = list(dict.fromkeys(131072 // c for c in counts))

@@ -38,6 +38,24 @@ def test_query(spark, db, name):
     assert comparable(mine.select(*names).collect()) == comparable(found.fetchall())
 
 
+def agrees(spark, folder, name, rows):
+    """A query and its SQL over events of one's own: event_id, ts, event_type, value."""
+    c = duckdb.connect()
+    c.execute(f"COPY ({rows}) TO '{folder}/events.parquet' (FORMAT parquet)")
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    found = c.execute(ORACLE_SQL[name])
+    names = [x[0] for x in found.description]
+    assert comparable(QUERIES[name](spark, str(folder)).select(*names).collect()) == comparable(found.fetchall())
+
+
+EVENTS = "SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_milliseconds(i * 500) AS ts, 'abc'[1 + i % 2] AS event_type, {} AS value FROM range({}) AS r(i)"
+
+
+@pytest.mark.parametrize("every", [97, 400])
+def test_round_trip_of_samples_of_zero(spark, tmp_path, every):
+    agrees(spark, tmp_path, "full_roundtrip", EVENTS.format(f"(CASE WHEN i % {every} = 0 THEN 0 ELSE (i * 7919 % 56021) / 100 END)::DOUBLE", 3000))
+
+
 @pytest.mark.parametrize(("name", "level"), [("codec_choice", 0), ("codec_choice_sampled", 5)])
 def test_choice_is_the_smallest_of_all_candidates(spark, name, level):
     """Every frame of every series, each candidate encoded in full."""
