@@ -671,7 +671,7 @@ def times_through_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_type AS series_id, event_id, epoch(ts)::BIGINT AS ts, coalesce(epoch(ts)::BIGINT < max(epoch(ts)::BIGINT) OVER
   (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS rejected FROM events""")
 def late_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("series_id"), "event_id", F.round(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long").alias("ts"))
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("series_id"), "event_id", F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long").alias("ts"))
     return timeindex.reject_late(rows, ["event_id"])
 
 

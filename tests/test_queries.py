@@ -56,6 +56,11 @@ def test_round_trip_of_samples_of_zero(spark, tmp_path, every):
     agrees(spark, tmp_path, "full_roundtrip", EVENTS.format(f"(CASE WHEN i % {every} = 0 THEN 0 ELSE (i * 7919 % 56021) / 100 END)::DOUBLE", 3000))
 
 
+def test_late_points_at_half_seconds(spark, tmp_path):
+    """Halves go to the even second, as in the SQL."""
+    agrees(spark, tmp_path, "late_points", EVENTS.format("1.0::DOUBLE", 40).replace("i * 500", "(i * 7 % 40) * 500"))
+
+
 @pytest.mark.parametrize(("name", "level"), [("codec_choice", 0), ("codec_choice_sampled", 5)])
 def test_choice_is_the_smallest_of_all_candidates(spark, name, level):
     """Every frame of every series, each candidate encoded in full."""
