@@ -47,8 +47,9 @@ def catmull_rom(t_at: Column) -> Column:
     h = x2 - x1
     t = (t_at - x1) / h
     m1, m2 = (v2 - v0) / (x2 - x0) * h, (v3 - v1) / (x3 - x1) * h
-    t2, t3 = t * t, t * t * t
-    cubic = v1 * (2 * t3 - 3 * t2 + 1) + m1 * (t3 - 2 * t2 + t) + v2 * (3 * t2 - 2 * t3) + m2 * (t3 - t2)
+    # values of a few decimals end in ties, which the order of the factors decides; this is that of the SQL
+    c2, t2, t3 = 3 * t * t, t * t, t * t * t
+    cubic = v1 * (2 * t3 - c2 + 1) + m1 * (t3 - 2 * t2 + t) + v2 * (c2 - 2 * t3) + m2 * (t3 - t2)
     return F.when(x2.isNull(), v1).when(F.col("cubic"), cubic).otherwise(v1 + (v2 - v1) * t)
 
 

@@ -13,8 +13,9 @@ FRAME = ["series_id", "frame_no"]
 
 
 def noop_encode(framed: DataFrame) -> DataFrame:
-    """Values rounded to whole numbers, half away from zero, as stored."""
-    return framed.withColumn("stored", round_half_away(F.col("value"), 0).cast("long"))
+    """Values rounded to whole numbers, half away from zero, as stored; those beyond the longs as the last of them."""
+    whole, most = round_half_away(F.col("value"), 0), float(1 << 63)
+    return framed.withColumn("stored", F.when(F.abs(whole) >= most, F.signum(whole) * most).otherwise(whole).cast("long"))
 
 
 def noop_decode(stored: DataFrame) -> DataFrame:

@@ -61,6 +61,12 @@ def test_late_points_at_half_seconds(spark, tmp_path):
     agrees(spark, tmp_path, "late_points", EVENTS.format("1.0::DOUBLE", 40).replace("i * 500", "(i * 7 % 40) * 500"))
 
 
+@pytest.mark.parametrize("name", ["poly_error", "poly_decode"])
+def test_splines_of_zeros_and_ties(spark, tmp_path, name):
+    """A sample of zero has an infinite error; in frames of 16384 samples keys are 100 apart, so decoded values end in ties."""
+    agrees(spark, tmp_path, name, EVENTS.format("(CASE WHEN i = 5001 THEN 0 ELSE (i * 7919 * 7919 % 56021) / 100 END)::DOUBLE", 32768))
+
+
 @pytest.mark.parametrize(("name", "level"), [("codec_choice", 0), ("codec_choice_sampled", 5)])
 def test_choice_is_the_smallest_of_all_candidates(spark, name, level):
     """Every frame of every series, each candidate encoded in full."""

@@ -70,6 +70,15 @@ def test_scalars(spark):
     assert [r["s"] for r in got] == [144, 576, 2187, 139968] and [r["p"] for r in got] == [128, 512, 2048, 131072] and all(r["d"] for r in got)
 
 
+def test_rounding_of_large_numbers(spark):
+    """Infinite and large numbers stay what they are; as whole numbers they are stored as the last long."""
+    x = [0.0000149, -0.0000151, 2.0**52 + 1, 1e20, -1e20, math.inf, -math.inf]
+    got = [r[0] for r in samples(spark, x).orderBy("pos").select(scalar.round_half_away(F.col("value"), 5)).collect()]
+    assert got == pytest.approx([0.00001, -0.00002, *x[2:]], rel=1e-15)
+    assert math.isnan(samples(spark, [math.nan]).select(scalar.round_half_away(F.col("value"), 5)).first()[0])
+    assert [r["stored"] for r in runs.noop_encode(samples(spark, x[2:5])).orderBy("pos").collect()] == [2**52 + 2, 2**63 - 1, -(2**63)]
+
+
 def test_runs_round_trip(spark):
     framed = series.with_frames(samples(spark, [1, 1, 2, 2, 1, 0.0, -0.0, 5]))
     counts = framed.groupBy("series_id", "frame_no").agg(F.count("*").alias("sample_count"))
