@@ -67,6 +67,11 @@ def test_splines_of_zeros_and_ties(spark, tmp_path, name):
     agrees(spark, tmp_path, name, EVENTS.format("(CASE WHEN i = 5001 THEN 0 ELSE (i * 7919 * 7919 % 56021) / 100 END)::DOUBLE", 32768))
 
 
+def test_inverse_distance_of_zeros(spark, tmp_path):
+    """Frames of 256 samples with a zero between keys have an infinite error."""
+    agrees(spark, tmp_path, "idw_error", EVENTS.format("(CASE WHEN i IN (200, 1401) THEN 0 ELSE (i * 7919 % 56021) / 100 END)::DOUBLE", 3000))
+
+
 @pytest.mark.parametrize(("name", "level"), [("codec_choice", 0), ("codec_choice_sampled", 5)])
 def test_choice_is_the_smallest_of_all_candidates(spark, name, level):
     """Every frame of every series, each candidate encoded in full."""
