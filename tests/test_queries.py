@@ -63,8 +63,8 @@ def test_late_points_at_half_seconds(spark, tmp_path):
 
 @pytest.mark.parametrize("name", ["poly_error", "poly_decode"])
 def test_splines_of_zeros_and_ties(spark, tmp_path, name):
-    """A sample of zero has an infinite error; in frames of 16384 samples keys are 100 apart, so decoded values end in ties."""
-    agrees(spark, tmp_path, name, EVENTS.format("(CASE WHEN i = 5001 THEN 0 ELSE (i * 7919 * 7919 % 56021) / 100 END)::DOUBLE", 32768))
+    """A sample of zero has an infinite error; in frames of 32768 samples keys are 100 apart, so decoded values end in ties."""
+    agrees(spark, tmp_path, name, EVENTS.format("(CASE WHEN i = 5011 THEN 0 ELSE (md5_number(i::VARCHAR) % 56021)::INT / 100 END)::DOUBLE", 65536))
 
 
 def test_inverse_distance_of_zeros(spark, tmp_path):
